@@ -69,6 +69,8 @@ def reports(engine) -> dict[str, str]:
     for name, (title, columns, df) in plans.items():
         rows, more = _rows(df, most)
         out[name] = _table(title, columns, rows, more)
+    out["architecture.md"] += f"\n```mermaid\n{diagram(engine)}\n```\n"
+    out["agent-context.md"] = agent_context(engine)
     for name, report in engine.reports.items():
         try:
             out[name] = report(engine)
@@ -77,6 +79,50 @@ def reports(engine) -> dict[str, str]:
     return out
 
 
+MIGRATIONS = [("prisma:%", "Prisma"), ("rails:%", "Rails"), ("alembic:%", "Alembic"), ("V%\\_\\_%", "Flyway"), ("%:%", "Liquibase")]
+
+
+def migration_tools(engine) -> DataFrame:
+    """tool, tables: by the tags of schema definitions."""
+    tool = F.lit("plain SQL")
+    for pattern, name in reversed(MIGRATIONS):
+        tool = F.when(F.col("changeset").like(pattern), name).otherwise(tool)
+    return engine.tables["db_defs"].select("tbl", F.when(F.col("changeset").isNull(), "plain SQL").otherwise(tool).alias("tool")).groupBy("tool").agg(F.countDistinct("tbl").alias("tables"))
+
+
+def diagram(engine) -> str:
+    """The heaviest edges between modules, as a Mermaid graph."""
+    from fathom.functions.text import slug
+
+    edges = graph.module_edges(engine.tables["edges"]).orderBy(F.col("n").desc(), "src_module", "dst_module").limit(engine.config.max_diagram_nodes)
+    safe = [F.regexp_replace(slug(F.col(c)), "-", "_").alias(c) for c in ("src_module", "dst_module")]
+    return "\n".join(["graph LR", *[f"  {r.src_module} -->|{r.n}| {r.dst_module}" for r in edges.select(*safe, "n").collect()]])
+
+
+def agent_context(engine) -> str:
+    """A short orientation: size, modules, hotspots, the seams' counts, migration tools, open gaps."""
+    t = engine.tables
+    status = engine.index_status()
+    gaps = engine.graph_gaps().groupBy("category").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("subject")), 1, 3).alias("some")).orderBy("category").collect()
+    lines = [f"{status['files']} files, {status['symbols']} symbols, {status['edges']} edges", ""]
+    lines += [f"- {r.dir}: {r.files} files ({r.langs})" for r in engine.module_map().orderBy(F.col("files").desc(), "dir").limit(15).collect()]
+    lines += [f"- used by {r.dependents}: {r.path}" for r in engine.hotspots(5).collect()]
+    lines += [f"- {n}: {t[n].count()}" for n in ("msg_edges", "db_defs", "db_access", "http_endpoints", "http_calls", "test_cases")]
+    lines += [f"- schema by {r.tool}: {r.tables} tables" for r in migration_tools(engine).orderBy("tool").collect()]
+    lines += [f"- {g.category}: {g.n} ({', '.join(g.some)}{', …' if g.n > len(g.some) else ''})" for g in gaps]
+    return "\n".join(lines) + "\n"
+
+
+def resources(engine) -> dict:
+    """Named read-only documents; `context` and `decision` take what they are about."""
+    claims = memory.stale(engine.tables["assertions"].where("kind <> 'dismissal'"), engine.tables["files"])
+    as_json = lambda df: json.dumps([r.asDict(recursive=True) for r in df.collect()], default=str)
+    return {
+        "graph": lambda: export_json(engine), "status": lambda: json.dumps(engine.index_status()), "context": lambda target: json.dumps(engine.context_pack(target), default=str),
+        "decisions": lambda: as_json(engine.tables["decisions"].orderBy("id")), "decision": lambda id_: as_json(engine.tables["decisions"].where(F.col("id") == id_.upper())), "assertions": lambda: as_json(claims),
+    }
+
+
 def work(engine, hotspots: int = 12) -> DataFrame:
     """target, kind, hash: modules and the most used files that have no insight made from their present text."""
     t = engine.tables

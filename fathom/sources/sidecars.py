@@ -84,6 +84,81 @@ def compiler_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return seen.where("defines = 1").drop("defines").distinct().join(told, "symbol", "left"), seen.where("defines = 0").drop("defines").distinct()
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message on the wire: integers as they are, everything with a length as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        elif kind in (1, 2, 5):
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield number, data[at : at + size]
+            at += size
+        else:
+            raise ValueError(f"unknown wire kind {kind}")
+
+
+def _first_of(packed: bytes | int) -> int:
+    """The first of packed integers."""
+    if isinstance(packed, int):
+        return packed
+    value = shift = 0
+    for byte in packed:
+        value |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            break
+    return value
+
+
+def index_rows(data: bytes) -> Iterator[tuple[str, str, str | None, int | None, int | None, str | None]]:
+    """(row, symbol, path, line, defines, docs) of a compiler index: its occurrences and its symbols."""
+    for number, document in _fields(data):
+        if number != 2:  # documents
+            continue
+        parts = list(_fields(document))
+        path = next((v.decode() for n, v in parts if n == 1), "")
+        for n, body in parts:
+            if n == 2:  # an occurrence: range, symbol, roles
+                given = {}
+                for k, v in _fields(body):
+                    given.setdefault(k, v)
+                symbol = given.get(2, b"").decode()
+                if symbol and not symbol.startswith("local "):
+                    yield "seen", symbol, path, _first_of(given.get(1, 0)) + 1, int(given.get(3, 0)) & 1, None
+            elif n == 3:  # a symbol: name, documentation
+                told = list(_fields(body))
+                yield "told", next((v.decode() for k, v in told if k == 1), ""), None, None, None, "\n".join(v.decode() for k, v in told if k == 3)
+
+
+def compiler_index_binary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same of indexes in their binary form."""
+    names = ["row", "symbol", "path", "line", "defines", "docs"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                yield pd.DataFrame(list(index_rows(content)), columns=names, dtype=object)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row string, symbol string, path string, line int, defines int, docs string")
+    seen = rows.where("row = 'seen'").select("symbol", "path", "line", "defines").distinct()
+    told = rows.where("row = 'told'").groupBy("symbol").agg(F.max("docs").alias("docs"))
+    return seen.where("defines = 1").drop("defines").join(told, "symbol", "left"), seen.where("defines = 0").drop("defines")
+
+
 def reference_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
     """src, dst, kind of references to another file's definition."""
     last = defs.groupBy("symbol").agg(F.max_by("path", F.struct("path", "line")).alias("dst"))

@@ -184,6 +184,27 @@ def test_compiler_index(spark, tmp_path):
     assert engine.find_references("f()").first().reference_count == 1 and engine.goto_definition("F()").first().path == "a.ts"
 
 
+def test_binary_compiler_index(spark, tmp_path):
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, value):
+        return varint(number * 8) + varint(value) if isinstance(value, int) else varint(number * 8 + 2) + varint(len(value)) + value
+
+    f = b"pkg f()."
+    a = field(1, b"a.ts") + field(2, field(1, varint(300) + varint(0) + varint(3)) + field(2, f) + field(3, 9)) + field(3, field(1, f) + field(3, b"does f")) + field(2, field(1, bytes([1, 0, 1])) + field(2, b"local 3") + field(3, 1))
+    b = field(1, b"b.ts") + field(2, field(1, bytes([9, 1, 2])) + field(2, f))
+    (tmp_path / "index.scip").write_bytes(field(1, field(3, b"file:///x")) + field(2, a) + field(2, b))
+    defs, refs = sidecars.compiler_index_binary(spark, str(tmp_path / "index.scip"))
+    assert rows(defs, "symbol", "path", "line", "docs") == {("pkg f().", "a.ts", 301, "does f")} and rows(refs, "symbol", "path", "line") == {("pkg f().", "b.ts", 10)}
+
+
+def test_resources_and_context(engine):
+    assert set(publish.resources(engine)) == {"graph", "status", "context", "decisions", "decision", "assertions"}
+    assert "ADR-012" in publish.resources(engine)["decision"]("ADR-012") and "refunds.requested" in publish.agent_context(engine)
+    assert "web_app" in publish.diagram(engine) or "graph LR" in publish.diagram(engine)
+
+
 def test_refresh_equals_rebuild(spark, engine):
     old = engine.corpus.select("path", "text")
     new = old.withColumn("text", F.when(F.col("path").endswith("Publisher.java"), F.replace("text", F.lit("orders.created"), F.lit("orders.made"))).otherwise(F.col("text"))).where("path not like '%util.ts'")
