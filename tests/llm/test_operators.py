@@ -94,7 +94,7 @@ def brute_contamination(docs, items):
         sd = shingles(t)
         for i, x in items:
             a = shingles(x)
-            if not a or not sd:
+            if not set(a) & set(sd):
                 continue
             m, ca = min(len(a), len(sd)), Counter(a)
             for s in range(len(sd) - m + 1):
