@@ -52,6 +52,11 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def under(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the first share of its range: the same rows wherever they lie, without sending any of the others."""
+    return F.lit(True) if share >= 1 else hashed.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(max(share, 0.0) * (1 << 63)))
+
+
 def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column, and each row's start and length in them; null: empty. No copies."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_views
+from ._common import byte_views, under
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -341,9 +341,18 @@ def all_spans(p: dict | None, texts: list[str]) -> list[tuple[list, list]]:
 
 
 def training_texts(docs: DataFrame, texts: int = TRAIN_TEXTS) -> list[str]:
-    """At most `texts` distinct short texts that hold a digit or "@", the first by a hash."""
-    some = docs.select(F.col("text").cast("string").alias("text")).where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike("[0-9@]"))
-    return [r["text"] for r in some.orderBy(F.xxhash64("text"), "text").limit(texts).collect()]
+    """At most `texts` distinct short texts that hold a digit or "@", the first by a hash.
+
+    A share of the hash's range is looked through, and a wider one while too few are found, so that hardly more than the sample leaves the executors.
+    """
+    read = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    share = min(1.0, 16 * texts / max(1, docs.count()))
+    while True:
+        some = read.where(under(F.col("h"), share)).where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike("[0-9@]"))
+        rows = some.groupBy("h").agg(F.min("text").alias("text")).orderBy("h", "text").limit(texts).collect()
+        if len(rows) >= texts or share >= 1:
+            return [r["text"] for r in rows]
+        share = min(1.0, share * 16)
 
 
 def found(docs: DataFrame, p: dict | None = None) -> DataFrame:
