@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import under, written
 
 SAMPLE, LIST_ROWS, MAX_LISTS = 20_000, 4096, 1024
 PROBED = 0.75  # share of the lists that a query probes; vectors without any structure need as much for a recall of 0.95
@@ -124,7 +124,9 @@ def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, share: float
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest by cosine."""
     spark = vectors.sparkSession
     read = _valid(vectors)
-    rows = read.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0)
+    total = read.count()
+    some = read.where(under(F.xxhash64("vec_id"), (1.25 * SAMPLE + 64) / max(1, total)))  # so that hardly more than the sample leaves the executors
+    rows = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0)
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(rows):
         return spark.createDataFrame([], schema)
@@ -132,7 +134,6 @@ def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, share: float
     dim = int(np.bincount(lengths).argmax())
     fit = np.array([v.as_py() for v, n in zip(rows, lengths) if n == dim])
     turn = rotation(dim)
-    total = read.count()
 
     def unit(x: np.ndarray) -> np.ndarray:
         x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
