@@ -44,9 +44,15 @@ def spoken(name: Column) -> Column:
 
 
 def occurrences(text: Column, needle: str) -> Column:
-    """Overlapping occurrences of a phrase, letter case folded."""
-    quoted = needle.lower().replace("\\E", "\\E\\\\E\\Q")
-    return F.regexp_count(F.lower(text), F.lit(rf"(?=\Q{quoted}\E)"))
+    """Overlapping occurrences of a phrase, letter case folded.
+
+    A phrase that can't overlap itself is counted by what removing it takes away; any other by a look-ahead, in the texts that hold it.
+    """
+    low, phrase = F.lower(text), needle.lower()
+    if not any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase))):
+        return ((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+    quoted = phrase.replace("\\E", "\\E\\\\E\\Q")
+    return F.when(F.contains(low, F.lit(phrase)), F.regexp_count(low, F.lit(rf"(?=\Q{quoted}\E)"))).otherwise(0)
 
 
 #: fixed values: words of a task's description that are no search terms
