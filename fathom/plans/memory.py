@@ -126,7 +126,11 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="fathom-")
     base = f"{root}/fathom/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
 
