@@ -14,8 +14,9 @@ runs of letters and digits, lower-cased.
 4. Verification. The exact multiset similarity decides.
 
 One pass over the documents without a shuffle of texts or shingles; only verified pairs are grouped. The broadcast sides hold at most SLICE_ITEMS
-items; a larger benchmark takes several passes, each over the next slice of items. Items over MAX_SHINGLES shingles are cut into segments, each
-matched by itself, so a window never exceeds that size.
+items; a larger benchmark takes several passes, each over the next slice of items. Windows of items over MAX_SHINGLES shingles would be too many to make, so
+steps 1 to 4 give way to an exact count: the places where a document holds a shingle of the item are shuffled (of documents long enough to reach t),
+and running sums over them give the similarity of every window as long as the whole item. They are broadcast SLICE_SHINGLES shingles a pass, but an item never in parts.
 
 Defined cases: null texts hold no words; a text or item under five words is one shingle, its whole sequence; items without words match
 nothing; a document shorter than the item is one window; repeated items give the same result, repeated documents (equal doc_id and text) one row; empty
@@ -26,14 +27,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bound
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
 MAX_SHINGLES = 2000
-SLICE_ITEMS = 20_000
+SLICE_ITEMS, SLICE_SHINGLES = 20_000, 500_000
 BLOCKS = [(5 * i + max(0, i - 8), 5 + (i >= 8)) for i in range(12)]  # first bit and width: eight of 5 bits, four of 6
 LANES = 0x0001000100010001
 
@@ -97,31 +98,37 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) > 0, bound(both, lambda c: c / (F.size(a) + F.size(b) - c))).otherwise(F.lit(0.0))
 
 
-def segments(items: DataFrame) -> DataFrame:
-    """seg, item_id, n, sh: each item's shingles, cut where there are more than MAX_SHINGLES; equal segments of one item once."""
+def sized(items: DataFrame) -> DataFrame:
+    """seg, item_id, n, sh: each item's shingles, whole; equal items of one id once."""
     read = items.select(F.col("item_id").cast("long").alias("item_id"), shingles(F.col("text")).alias("sh")).where(F.size("sh") > 0)
-    cut = read.select("item_id", F.explode(F.sequence(F.lit(0), F.expr(f"(size(sh) - 1) div {MAX_SHINGLES}").cast("int"))).alias("k"), "sh")
-    cut = cut.select("item_id", F.slice("sh", F.col("k") * MAX_SHINGLES + 1, F.lit(MAX_SHINGLES)).alias("sh"))
-    return cut.select(F.xxhash64("item_id", "sh").alias("seg"), "item_id", F.size("sh").alias("n"), "sh").dropDuplicates(["seg", "item_id"])
+    return read.select(F.xxhash64("item_id", "sh").alias("seg"), "item_id", F.size("sh").alias("n"), "sh").dropDuplicates(["seg", "item_id"])
+
+
+def _slices(parts: DataFrame, share: float) -> list[DataFrame]:
+    """parts in as many slices as the share, rounded up; one at least."""
+    passes = max(1, math.ceil(share))
+    return [parts] if passes == 1 else [parts.where(F.pmod("seg", F.lit(passes)) == k) for k in range(passes)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, threshold: float = SIMILARITY) -> DataFrame:
     """One row per document and item found in it: keys, item_id, similarity (the best window's), start_shingle (that window's first shingle), windows
     (verified ones). keys: the columns of docs that name a document, besides text; doc_id as a long unless given."""
     keys = keys or ["doc_id"]
-    parts = segments(items)
-    sized = parts.agg(F.count("*").alias("n")).first()["n"]
-    if not sized:
-        parts = parts.limit(0)
-    passes = max(1, math.ceil(sized / SLICE_ITEMS))
+    parts = sized(items)
+    short, long = parts.where(F.col("n") <= MAX_SHINGLES), parts.where(F.col("n") > MAX_SHINGLES)
+    told = parts.agg(F.count_if(F.col("n") <= MAX_SHINGLES).alias("short"), F.sum(F.when(F.col("n") > MAX_SHINGLES, F.col("n"))).alias("long")).first()
+    if not told["short"]:
+        short = short.limit(0)
     read = docs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], shingles(F.col("text")).alias("sh"))
     found = None
-    for k in range(passes):
-        part = parts if passes == 1 else parts.where(F.pmod("seg", F.lit(passes)) == k)
+    for part in _slices(short, told["short"] / SLICE_ITEMS):
         one = _pass(read, part, len(keys), threshold)
         found = one if found is None else found.unionByName(one)
+    if told["long"]:
+        for part in _slices(long, told["long"] / SLICE_SHINGLES):
+            found = found.unionByName(_long_pass(read, part, len(keys), threshold))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
-    passed = F.count_if(F.col("similarity") >= threshold - 1e-12).alias("windows")
+    passed = F.sum("passed").alias("windows")
     grouped = found.groupBy(*[f"_key{i}" for i in range(len(keys))], "item_id").agg(best.alias("best"), passed).where("windows > 0")
     return grouped.select(
         *[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "item_id", F.col("best.similarity").alias("similarity"),
@@ -171,7 +178,36 @@ def _pass(read: DataFrame, parts: DataFrame, n_keys: int, threshold: float) -> D
     for i in reversed(range(len(BLOCKS))):
         first = F.when(F.bit_count(block(apart, i)) <= 1, F.lit(i)).otherwise(first)
     pairs = pairs.where(F.bit_count(apart) <= RADIUS).where(F.col("blk") == first)
-    return pairs.select(*keys, "item_id", "start", similarity(F.col("win"), F.col("item_sh")).alias("similarity"))
+    pairs = pairs.select(*keys, "item_id", "start", similarity(F.col("win"), F.col("item_sh")).alias("similarity"))
+    return pairs.withColumn("passed", (F.col("similarity") >= threshold - 1e-12).cast("long"))
+
+
+def _long_pass(read: DataFrame, parts: DataFrame, n_keys: int, threshold: float) -> DataFrame:
+    """Items of any size with every window of each document, counted without making the windows.
+
+    Of a shingle that an item holds k times, the occurrence at p is among the first k in a window of m shingles if the window starts at p at the latest, after
+    p - m, and after the k-th occurrence before p. So each occurrence counts for one range of starts, and running sums over the ends of
+    these ranges give every window's multiset intersection.
+    """
+    keys = [f"_key{i}" for i in range(n_keys)]
+    pair = [*keys, "doc", "seg", "item_id", "n", "total"]
+    asked = parts.select("seg", "item_id", "n", F.explode("sh").alias("h")).groupBy("seg", "item_id", "n", "h").agg(F.count("*").cast("int").alias("k"))
+    least = parts.agg(F.min("n")).first()[0]
+    # (outer, as in _pass; documents too short for the smallest item give one null row)
+    places = F.when(F.size("sh") >= F.lit(least) * threshold - 1e-9, F.col("sh"))
+    met = read.select(*keys, F.xxhash64("sh").alias("doc"), F.size("sh").alias("total"), F.posexplode_outer(places).alias("p", "h"))
+    met = met.join(F.broadcast(asked), "h").where(F.col("total") >= F.col("n") * F.lit(threshold) - 1e-9)
+    met = met.groupBy(*pair, "h", "k").agg(F.array_sort(F.collect_set("p")).alias("at"))  # a set: repeated documents are one
+    m = F.least("n", "total")
+    low = lambda p, i: F.greatest(F.lit(0), p - m + 1, F.when(i >= F.col("k"), F.get("at", i - F.col("k")) + 1))
+    ranges = F.transform("at", lambda p, i: F.struct(low(p, i).alias("low"), F.least(p, F.col("total") - m).alias("high")))
+    ranges = F.filter(ranges, lambda r: r["low"] <= r["high"])
+    ends = F.flatten(F.transform(ranges, lambda r: F.array(F.struct(r["low"].alias("start"), F.lit(1).alias("d")), F.struct((r["high"] + 1).alias("start"), F.lit(-1).alias("d")))))
+    turns = met.select(*pair, F.inline(ends)).groupBy(*pair, "start").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy(*pair).orderBy("start")
+    turns = turns.withColumns({"c": F.sum("d").over(along), "wide": F.lead("start").over(along) - F.col("start")}).where("c > 0")
+    out = turns.select(*keys, "item_id", "start", "wide", (F.col("c") / (F.col("n") + m - F.col("c"))).alias("similarity"))
+    return out.select(*keys, "item_id", "start", "similarity", F.when(F.col("similarity") >= threshold - 1e-12, F.col("wide")).otherwise(F.lit(0)).cast("long").alias("passed"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -138,6 +138,32 @@ def test_decontamination_cases(spark, monkeypatch):
     assert {r.doc_id for r in decontam.contaminated(odd(spark), items).collect()} == {7, None}
 
 
+@pytest.mark.parametrize("slice_shingles", [500_000, 30])
+def test_decontamination_of_long_items_equals_brute_force(spark, monkeypatch, slice_shingles):
+    monkeypatch.setattr(decontam, "MAX_SHINGLES", 10)
+    monkeypatch.setattr(decontam, "SLICE_SHINGLES", slice_shingles)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([15, 25, 44, 90, 8])]
+    items += [(50, "a b c d e " * 12), (51, "x " * 30), (52, items[2][1])]
+    whole = items[3][1].split()
+    docs = [
+        (1, " ".join(whole[-5:])), (2, " ".join(whole[:20])), (3, " ".join(whole[45:] + whole[:45])), (4, items[3][1]), (4, items[3][1]),
+        (None, items[2][1]), (5, None), (6, "x " * 70), (7, "a b c d e " * 11 + "f g"), (8, "b c d e a " * 30),
+    ]
+    for i in range(60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 1, 2])):
+            j = rng.randrange(len(w))
+            w[j : j + 1] = rng.choice([[], [rng.choice(words)], [w[j], rng.choice(words)]])
+        around = [[rng.choice(words) for _ in range(rng.choice([0, 3, 30]))] for _ in range(2)]
+        docs.append((100 + i, " ".join(around[0] + w + around[1])))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_contamination(docs, items)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(want)
+    assert (3, 3) in want and (4, 3) in want and not {(1, 3), (2, 3)} & set(want)
+
+
 # ---- 3 packing
 
 
