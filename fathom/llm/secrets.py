@@ -7,7 +7,7 @@ the rule's candidates, which alone are verified with the expression. Rules witho
 Nothing is shuffled and nothing leaves the JVM.
 
 Spans are code points, end exclusive. The base kinds `assign`, `access` and `hex` are found leftmost and non-overlapping, and a match that fails its
-length is dropped without a retry. The method adds the kinds in EXTRA.
+length is dropped without a retry. The method adds the kinds in EXTRA; a private key's span is its whole block.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole, whatever their length; spans of different kinds may overlap, and all
 are reported; repeated rows give repeated results; an empty table gives no rows; other columns are carried by `redacted` and not read otherwise.
@@ -41,9 +41,17 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 ]
+#: A key's block up to its END line; where another marker or the text's end comes first, the base64 and header lines that follow (line ends may be escaped).
+#: Possessive, so that long keys need no deep stack.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"(?:[^-]|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:[\r\n]|\\[rn])++[\x20\t]*+[A-Za-z0-9+/]{1,15}+={0,2}(?![^\r\n\\])"
+    r"|(?:\s|\\[rn])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}))*+)"
+)
 EXTRA = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PEM),
 ]
 
 

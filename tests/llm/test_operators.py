@@ -512,6 +512,28 @@ def test_redaction(spark):
     assert got[1].text is None and got[7].text == "a b c d e f g" and secrets.redacted(empty(spark)).count() == 0
 
 
+def test_redaction_takes_whole_private_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIEpAIBAAKCAQEA" + "xY+/" * 12 for _ in range(4)]
+    body = "\n".join([*lines, "Qz09aB=="])
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    cases = {
+        f"see {begin}\n{body}\n{end} done": "see [SECRET] done",
+        f"{begin}\r\n{head}{body}\r\n{end}\n": "[SECRET]\n",
+        f"k {begin}\n{head}{body}": "k [SECRET]",
+        f"{begin}\n{body}\nand then some prose - here": "[SECRET]\nand then some prose - here",
+        f'{{"k": "{begin}\\n{body}\\n{end}\\n"}}'.replace("\n", "\\n"): '{"k": "[SECRET]\\n"}',
+        f"{begin} {lines[0]} {lines[1]} is cut": "[SECRET] is cut",
+        f"{begin} opens a key.\n{begin}\n{body}\n{end} x": "[SECRET] opens a key.\n[SECRET] x",
+        f"{begin}\n{body}\n{end}{begin}\n{body}\n-----END CERTIFICATE----- x": "[SECRET][SECRET]\n-----END CERTIFICATE----- x",
+        f"{begin}\n" + f"{lines[0]}\n" * 20_000 + f"{end} é": "[SECRET] é",
+        f"{begin}\n" + f"{lines[0]}\n" * 20_000 + "plain words": "[SECRET]\nplain words",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 # ---- 10 nearest neighbours
 
 
