@@ -120,13 +120,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def sampled(read: DataFrame, total: int) -> pa.ChunkedArray:
+    """At most SAMPLE of the vectors (vec_id, v), the first by a hash of id and vector.
+
+    A share of the hash's range is looked through, so that hardly more than the sample leaves the executors, and a wider one while too few rows lie in it:
+    repeated rows share a hash.
+    """
+    hashed, share = F.xxhash64("vec_id", "v"), (1.25 * SAMPLE + 64) / total
+    while True:
+        some = read.where(under(hashed, share))
+        rows = some.orderBy(hashed, "vec_id").limit(SAMPLE).select("v").toArrow().column(0)
+        if len(rows) >= min(SAMPLE, total) or share >= 1:
+            return rows
+        share *= 16
+
+
 def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, share: float = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest by cosine."""
     spark = vectors.sparkSession
     read = _valid(vectors)
     total = read.count()
-    some = read.where(under(F.xxhash64("vec_id"), (1.25 * SAMPLE + 64) / max(1, total)))  # so that hardly more than the sample leaves the executors
-    rows = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0)
+    rows = sampled(read, total) if total else []
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(rows):
         return spark.createDataFrame([], schema)

@@ -576,5 +576,20 @@ def test_neighbours_ties_in_a_hot_vector(spark):
     assert [i for _, i in sorted(got[100])] == [0, 1, 2, 3, 4] and [i for _, i in sorted(got[0])] == [1, 2, 3, 4, 5]
 
 
+def test_neighbours_of_few_ids_in_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 8)
+    rng = np.random.default_rng(4)
+    vectors = {50 * i: rng.normal(size=8).tolist() for i in range(3)}
+    hashes = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    df = hashes.crossJoin(spark.range(2000)).select("vec_id", "embedding")
+    assert len(ann.sampled(ann._valid(df), df.count())) == 8
+    got = ann.neighbours(df, every=50, k=2).collect()
+    assert {r.query_id for r in got} == set(vectors) and len(got) == 6
+    spread = spark.range(4000).select(F.lit(50).alias("vec_id"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("embedding"))
+    drawn = ann.sampled(ann._valid(spread), 4000).to_pylist()
+    assert len(drawn) == 8 and len({tuple(v) for v in drawn}) == 8
+    assert ann.neighbours(df.limit(0)).count() == 0
+
+
 def test_crc_is_little_endian():
     assert struct.pack("<2I", 1, 258) == np.array([1, 258], "<u4").tobytes()
