@@ -29,7 +29,8 @@ LAGS = 40  # dilations of the two-byte filters
 WIDE = FILTERS + 1  # pooled values of a chunk
 BLOCK = 192  # chunks convolved at a time
 TRAIN_ROWS = 2048  # labelled rows that training may use, half of each class
-TRAIN_BYTES = 32768  # longer labelled texts are left to scoring
+TRAIN_BYTES = 32768  # of a labelled text
+PIECES = 16  # that a longer text is cut to
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 LEAST_STEPS = 500  # small samples are gone through more often
 THRESHOLD = 0.7
@@ -115,7 +116,7 @@ def train(texts: list[bytes], labels: list[int], prior: float = 0.5, seed: int =
     )
     net.embed[0] = 0
     if not len(y) or y.min() == y.max():
-        net.constant = float(y.mean()) if len(y) else 0.5
+        net.constant = float(prior) if len(y) else 0.5
         return net
     names, moments, step = ("embed", "filters", "bias", "weight"), {}, 0
     share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
@@ -176,7 +177,10 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[int], float]:
-    """At most `rows` labelled texts, half of each class, the first by a hash of doc_id, and the share of label 1; held-out ids never."""
+    """At most `rows` labelled texts, half of each class, the first by a hash of doc_id, and the share of label 1; held-out ids never.
+
+    Of a text over TRAIN_BYTES, as many bytes in PIECES pieces, spread evenly from its start to its end.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
@@ -187,10 +191,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
         return [], [], 0.5
     spark = docs.sparkSession
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # TRAIN_ROWS rows at most
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = short.where(F.octet_length("text") <= TRAIN_BYTES).join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    sample = sorted((r["doc_id"], r["y"], r["text"]) for r in found.collect())
-    return [t.encode() for _, _, t in sample], [y for _, y, _ in sample], prior
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    size, piece = F.octet_length("text").cast("long"), TRAIN_BYTES // PIECES
+    pieces = F.concat(*[F.substring("text", ((size - piece) * i / (PIECES - 1)).cast("int") + 1, F.lit(piece)) for i in range(PIECES)])
+    cut = F.when(size <= TRAIN_BYTES, F.col("text")).otherwise(pieces)
+    found = texts.join(picked, "doc_id").select("doc_id", "y", cut.alias("text")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = sorted((r["doc_id"], r["y"], bytes(r["text"])) for r in found.collect())
+    return [t for _, _, t in sample], [y for _, y, _ in sample], prior
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:

@@ -81,6 +81,15 @@ def test_quality_cases(spark):
     assert kept.columns == odd(spark).columns and kept.count() <= len(ODD)
 
 
+def test_quality_trains_on_long_texts(spark):
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("start "), F.repeat(F.lit("é long "), 9000), F.lit(" end"))).otherwise(F.lit("short")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    texts, y, prior = quality.training_rows(docs, labels)
+    assert set(y) == {0, 1} and 0.3 < prior < 0.7 and {t for t, c in zip(texts, y) if c == 0} == {b"short"}
+    assert all(len(t) == quality.TRAIN_BYTES and t.startswith(b"start ") and t.endswith(b" end") for t, c in zip(texts, y) if c == 1)
+    assert quality.train([b"a", b"b"], [1, 1], 0.25).constant == 0.25
+
+
 # ---- 2 decontamination
 
 
