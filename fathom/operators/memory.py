@@ -25,17 +25,18 @@ def chained(rows: DataFrame, key: list[str], order: list[str], start: str) -> Da
     return rows.withColumn("valid_until", F.lead(start).over(Window.partitionBy(*key).orderBy(*order)))
 
 
-def trace(decisions: DataFrame, id_: str, most: int = 50) -> DataFrame:
-    """id, step: the chain through a decision, back (negative steps) and forward; ids met before end it, so cycles do too."""
-    links = decisions.where("supersedes is not null").select("id", "supersedes")
+def trace(decisions: DataFrame, id_: str) -> DataFrame:
+    """id, step: the chain through a decision, back (negative steps) and forward, to its ends; ids met before end it, so cycles do too."""
+    links = decisions.where("supersedes is not null").select("id", "supersedes").persist()
     spark, found = decisions.sparkSession, {id_: 0}
     for sign, source, target in ((-1, "id", "supersedes"), (1, "supersedes", "id")):
         at, step = [id_], 0
-        while at and len(found) < most:
+        while at:
             step += sign
-            rows = links.where(F.col(source).isin(at)).select(target).distinct().limit(most).collect()
+            rows = links.where(F.col(source).isin(at)).select(target).distinct().collect()
             at = [r[0] for r in rows if r[0] not in found]
             found |= {x: step for x in at}
+    links.unpersist()
     return spark.createDataFrame(sorted(found.items(), key=lambda x: (x[1], x[0])), "id string, step int")
 
 

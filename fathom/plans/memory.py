@@ -40,11 +40,11 @@ def decision_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of one customer's orders, each superseding the one before, seen from the one with the smallest key."""
     from pyspark.sql import Window
 
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey = 1")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     before = F.lag(F.col("o_orderkey").cast("string")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    chain = orders.select(F.col("o_orderkey").cast("string").alias("id"), before.alias("supersedes"), "o_orderkey")
-    first = chain.agg(F.min("o_orderkey")).first()[0]
-    return m.trace(chain.select("id", "supersedes"), str(first), 10_000)
+    chain = orders.select(F.col("o_orderkey").cast("string").alias("id"), before.alias("supersedes"))
+    first = orders.where("o_custkey = 1").agg(F.min("o_orderkey")).first()[0]
+    return m.trace(chain, str(first))
 
 
 @plan(

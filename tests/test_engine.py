@@ -120,6 +120,11 @@ def test_trace_ends_in_a_cycle(spark):
     assert memory.trace(loop, "A").count() == 2
 
 
+def test_trace_follows_a_chain_to_both_ends(spark):
+    chain = spark.createDataFrame([(f"{i:02}", f"{i - 1:02}" if i else None) for i in range(58)], "id string, supersedes string").coalesce(1)
+    assert {(r.id, r.step) for r in memory.trace(chain, "54").collect()} == {(f"{i:02}", i - 54) for i in range(58)}
+
+
 def test_composites(engine):
     pack = engine.context_pack("Client")
     assert pack["file"] == "web-app/src/client.ts" and pack["tests"] == {"files": ["web-app/src/client.spec.ts"], "behaviors": ["loads an order"]}
