@@ -262,10 +262,19 @@ class Engine:
         asked = spark.createDataFrame([(p,) for p in paths[:20]], "path string").distinct()
         known = asked.join(self._t("files").select("path"), "path", "left_semi")
         reached = graph.blast_radius(self._t("edges"), known, 2, self._t("files").where("is_test"), repeats=False)
-        sides = seams.topic_sides(self._t("msg_edges"))
         here = self._t("msg_edges").join(known, "path", "left_semi")
-        sole = here.join(sides.where("producers = 1 or consumers = 1"), "topic").where("(direction = 'produce' and producers = 1) or (direction = 'consume' and consumers = 1)")
+        # a side of a topic is touched as a whole if all its production files are among the checked
+        files = seams.production(self._t("msg_edges")).join(here.select("topic").distinct(), "topic", "left_semi").select("topic", "direction", "path").distinct()
+        files = files.join(known.select("path", F.lit(True).alias("_known")), "path", "left")
+        sole = files.groupBy("topic", "direction").agg(F.count_if(F.col("_known").isNull()).alias("others")).where("others = 0 and direction in ('produce', 'consume')")
         at = lambda df: df.join(known, "path", "left_semi")
+        users = _rows(self._t("edges").join(known, F.col("dst") == known["path"], "left_semi").groupBy("dst").agg(F.count("*").alias("n")))
+        dependents = {r["dst"]: r["n"] for r in users}
+        seam = lambda name, *columns: _rows(at(self._t(name)).select("path", F.concat_ws(" ", *columns).alias("s")).distinct().orderBy("path", "s"))
+        touched = {"messaging": seam("msg_edges", "direction", "topic"), "database": seam("db_access", "mode", "tbl"), "endpoints": seam("http_endpoints", "method", "norm")}
+        names = _list(here.select("topic").union(at(self._t("db_access")).select("tbl")).union(known.select(F.split_part("path", F.lit("/"), F.lit(1)))))
+        links = self._t("decision_links").where(F.col("target").isin(names))
+        governing = self._t("decisions").join(links.select("id").distinct(), "id", "left_semi").where("valid_until is null and status = 'accepted'")
         risk = self._t("assertions").join(known, F.col("file") == known["path"], "left_semi").where("kind <> 'dismissal'")
         return {
             "files": {"checked": _list(known), "not_in_index": _list(asked.join(known, "path", "left_anti"))},
@@ -275,6 +284,8 @@ class Engine:
                 "drift_tables_touched": _list(at(seams.drift_sites(self._t("db_defs"), self._t("db_access"))).select("tbl")),
                 "endpoints_with_no_caller": _list(at(seams.uncalled(self._t("http_endpoints"), self._t("http_calls"))).select("norm")),
             },
+            "per_file": [{"path": p, "direct_dependents": dependents.get(p, 0)} | {k: [r["s"] for r in v if r["path"] == p] for k, v in touched.items()} for p in _list(known)],
+            "governing_decisions": _rows(governing.select("id", "title", "status").orderBy("id")),
             "assertions_at_risk": _rows(risk.select("kind", "file", "line")),
         }
 

@@ -137,6 +137,23 @@ def test_composites(engine):
     assert len(budgeted({"a": list(range(1000))}, 500)) <= 500
 
 
+def test_change_check_counts_files_and_names_decisions(spark, engine):
+    producer, listener = "orders/src/A.java", "billing/src/B.java"
+    held = lambda n, rows: spark.createDataFrame(rows, engine._t(n).schema)
+    like = lambda n, **values: tuple(values.get(f.name) for f in engine._t(n).schema)
+    empty = {n: held(n, []) for n in ("edges", "assertions", "db_defs", "db_access", "http_endpoints", "http_calls")}
+    sent = [like("msg_edges", path=p, line=k, topic="t", direction="produce", resolved=True, is_test=False) for p, k in ((producer, 1), (producer, 2), (listener, 1))]
+    tables = empty | {
+        "files": held("files", [like("files", path=p, is_test=False) for p in (producer, listener)]), "msg_edges": held("msg_edges", sent),
+        "decisions": held("decisions", [like("decisions", id="D-1", title="x", status="accepted")]), "decision_links": held("decision_links", [like("decision_links", id="D-1", kind="topic", target="t")]),
+    }
+    over = Engine(engine.corpus, tables=tables)
+    assert over.change_check([producer])["seam_warnings"]["sole_seam_side"] == []
+    both = over.change_check([producer, listener])
+    assert both["seam_warnings"]["sole_seam_side"] == ["t"] and [g["id"] for g in both["governing_decisions"]] == ["D-1"]
+    assert [(f["path"], f["messaging"]) for f in both["per_file"]] == [(listener, ["produce t"]), (producer, ["produce t"])]
+
+
 def test_publishing(engine):
     out = json.loads(publish.export_json(engine))
     assert out["schema"] == 1 and {m["id"] for m in out["modules"]} >= {"web-app", "docs"} and any(t["warning"] for t in out["tables"])
