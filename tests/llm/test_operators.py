@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fathom.llm import ann, chat, decontam, packing, pii, quality, secrets, sharding, simhash, urlfilter
 from fathom.llm import queries as Q
 from fathom.llm._common import table
+from fathom.llm.recall import exact
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: nulls, empty and very long texts, repeated rows, ties
@@ -585,6 +586,64 @@ def test_neighbours_ties_in_a_hot_vector(spark):
     assert [i for _, i in sorted(got[100])] == [0, 1, 2, 3, 4] and [i for _, i in sorted(got[0])] == [1, 2, 3, 4, 5]
 
 
+def clustered(rng, n, dim, groups=40):
+    centre = rng.normal(size=(groups, dim))
+    return centre[rng.integers(0, groups, n)] + 0.4 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("rows", [3, 40, 511, 3000])
+def test_scan_abandons_candidates_in_lists_of_any_size(rows):
+    rng = np.random.default_rng(rows)
+    x = ann.unit(clustered(rng, rows, 64)) @ ann.rotation(64)
+    q = ann.unit(clustered(rng, 50, 64)) @ ann.rotation(64)
+    exact = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    nobody = lambda r, j: np.zeros(len(r), bool)
+    k = 5
+    _, _, first, work = ann.scan(q, x, k, np.full(50, np.inf), nobody)
+    assert work["met"] == 50 * rows == work["abandoned"] + work["finished"]
+    carried = np.partition(exact, min(k, rows) - 1, axis=1)[:, min(k, rows) - 1]
+    who, found, bound, work = ann.scan(q, x, k, carried, nobody)  # a bound from an earlier list
+    assert (bound <= carried + 1e-9).all() and (rows <= k or work["abandoned"] > 0.5 * work["met"])
+    hit = sum(len(set(found[who == j]) & set(np.argsort(exact[j])[:k])) for j in range(50))
+    assert hit >= 0.95 * 50 * min(k, rows)
+    if rows > ann.CHUNK:  # without one, what finishes in a chunk bounds the next
+        assert work["finished"] <= ann.scan(q, x, k, np.full(50, np.inf), nobody)[3]["finished"] < 50 * rows
+        assert np.allclose(first, carried, rtol=0.05)
+
+
+def test_neighbours_of_thousands_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = clustered(rng, 5000, 24).astype(np.float32)
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(i, x[7].tolist(), "clash") for i in range(6000, 8500)] + [(100, x[3].tolist(), "clash")] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, ids string").repartition(7)
+    want = exact(df.select("vec_id", "embedding").toPandas())
+    for most_queries, block in ((16_384, 16_000_000), (20, 100)):  # several parts and blocks of a list give the same
+        monkeypatch.setattr(ann, "QUERY_ROWS", most_queries)
+        monkeypatch.setattr(ann, "BLOCK_BYTES", block)
+        got = defaultdict(list)
+        for r in ann.neighbours(df).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        assert set(got) == set(want)
+        hit = same = 0
+        for q, found in got.items():
+            found.sort()
+            assert [f[0] for f in found] == [1, 2, 3, 4, 5] and all(f[1] != q for f in found)
+            assert [f[2] for f in found] == sorted((f[2] for f in found), reverse=True)
+            hit += sum(f[2] >= want[q][-1][1] - 1e-9 for f in found)
+            same += [f[1] for f in found] == [w[0] for w in want[q]]
+        assert hit >= 0.93 * 5 * len(want) and same >= 0.75 * len(want)
+    some = ann.neighbours(df.where("vec_id >= 6000"), probes=1).where("query_id = 6050").orderBy("rank").collect()
+    assert [r.vec_id for r in some] == [6000, 6001, 6002, 6003, 6004]
+
+
+def test_neighbours_that_few_lists_hold_are_asked_of_all(spark):
+    rng = np.random.default_rng(2)
+    rows = [(50, [1.0, 0.01 * i]) for i in range(300)] + [(100 + i, [-1.0, float(v)]) for i, v in enumerate(rng.normal(size=4))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.neighbours(df, probes=1).where("query_id = 50").collect()]
+    assert sorted(got) == [100, 101, 102, 103]
+
+
 def test_neighbours_of_few_ids_in_many_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "SAMPLE", 8)
     rng = np.random.default_rng(4)
