@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +36,123 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: list[str] = []  # tables written and not dropped yet
+_FOLDERS: set[str] = set()
+
+
+def _forgotten(jvm, conf, folder: str) -> None:
+    """Deletes the application's folder as Python ends, if the JVM still answers."""
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the JVM has gone; what is left bears the application's id
+        return
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes as the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/fathom/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_forgotten, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df written once as Parquet into the shared folder, and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathom/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing reads any more."""
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more."""
     jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """Drops what is written inside as the block ends, but for the paths that it adds to keep. Plans that read a dropped table can't run any more."""
+    before = len(_SCRATCH)
+    yield
+    dropped(spark, *[p for p in _SCRATCH[before:] if p not in keep])
+
+
+PAGE = 512  # rows of a file that a row of bits stands for
+PAGE_BYTES = 128  # of such a row in a broadcast table, about
+BITS_BYTES = 256_000_000  # broadcast at a time
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), file and at: where each row lies in the files that docs reads. Tables that are no plain reading of Parquet files are written first."""
+    nodes, todo = [], [docs._jdf.queryExecution().analyzed()]
+    while todo:
+        plan = todo.pop()
+        nodes.append(plan.nodeName())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    source = docs
+    if not all(n in ("Project", "Filter", "SubqueryAlias") or n.startswith(("LogicalRelation", "Relation")) for n in nodes) or not docs.inputFiles():
+        source, _ = written(docs, "rows")
+    meta = source.metadataColumn("_metadata")
+    return source.select(F.struct("*").alias("row"), F.xxhash64(meta.getField("file_path")).alias("file"), meta.getField("row_index").alias("at"))
+
+
+def chosen(rows: DataFrame, marked: DataFrame, keep: bool) -> DataFrame:
+    """The rows of placed() that marked (file, at) names (keep), or that it doesn't; all columns of docs.
+
+    No row is shuffled: marks become pages of bits, aggregated from narrow rows, and the table is read with its pages broadcast. Beyond BITS_BYTES of pages, files are
+    taken in several passes, each with the pages of its files, so every file is still read once.
+    """
+    spark = rows.sparkSession
+    at = F.col("at").cast("long")
+    words = marked.select("file", F.floor(at / PAGE).alias("page"), (F.floor(at / 64) % (PAGE // 64)).cast("int").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+    words = words.groupBy("file", "page", "word").agg(F.bit_or("bit").alias("bits"))
+    listed = F.collect_list(F.struct("word", "bits"))  # PAGE / 64 at most
+    at_word = lambda i: F.coalesce(F.get(F.transform(F.filter("w", lambda x: x["word"] == i), lambda x: x["bits"]), F.lit(0)), F.lit(0).cast("long"))
+    pages = words.groupBy("file", "page").agg(listed.alias("w")).select("file", "page", F.transform(F.sequence(F.lit(0), F.lit(PAGE // 64 - 1)), at_word).alias("bits"))
+    pages, _ = written(pages, "pages")
+    passes = max(1, math.ceil(pages.count() * PAGE_BYTES / BITS_BYTES))
+
+    def taken(some: DataFrame, of: DataFrame) -> DataFrame:
+        asked = some.withColumn("page", F.floor(at / PAGE))
+        of = F.broadcast(of.select(F.col("file").alias("_file"), F.col("page").alias("_page"), "bits"))
+        both = asked.join(of, (F.col("file") == F.col("_file")) & (F.col("page") == F.col("_page")), "left")
+        word = F.coalesce(F.get("bits", (F.floor(at / 64) % (PAGE // 64)).cast("int")), F.lit(0).cast("long"))
+        told = word.bitwiseAND(F.expr("shiftleft(1L, int(at % 64))")) != 0
+        return both.where(told if keep else ~told).select("row.*")
+
+    if passes == 1:
+        return taken(rows, pages)
+    path = f"{scratch_dir(spark)}/chosen-{uuid.uuid4().hex}"
+    for i in range(passes):
+        mine = F.pmod(F.col("file"), F.lit(passes)) == i
+        taken(rows.where(mine), pages.where(mine)).write.mode("append").parquet(path)
+    _SCRATCH.append(path)
+    return spark.read.schema(rows.schema["row"].dataType).parquet(path)
+
+
+HOT_KEYS = 1000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, often: DataFrame, total: int) -> DataFrame:
+    """left join right on key, inner, where right has one row a key and a key may hold a third of left.
+
+    often: key, n (rows of left); total: rows of left. Keys with over a HOT_KEYS-th of all rows are HOT_KEYS at most: their rows meet a broadcast table and are not shuffled.
+    """
+    hot, _ = written(often.where(F.col("n") > max(1, total // HOT_KEYS)).select(key).join(right, key), "hot-keys")
+    names = [c for c in right.columns if c != key]
+    wide = hot.select(F.col(key).alias("_key"), F.struct(*names).alias("_hot"))
+    told = left.join(F.broadcast(wide), left[key] == F.col("_key"), "left").drop("_key")
+    columns = [F.col(c) for c in left.columns]
+    here = told.where("_hot is not null").select(*columns, *[F.col(f"_hot.{c}").alias(c) for c in names])
+    return told.where("_hot is null").select(*columns).join(right, key).select(*left.columns, *names).unionByName(here)
 
 
 def bound(value: Column, use) -> Column:

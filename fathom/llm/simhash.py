@@ -9,7 +9,8 @@ their differing bits.
 Only distinct fingerprints are indexed, so copies cost nothing here. A list leaves as a spanning forest of its links, at most one edge per member: members already
 reached are not compared again, which keeps dense groups of near copies near linear, and all pairs are never emitted. A list over HOT
 members is dealt into blocks, and every two blocks are compared in a task of their own, so no task holds an unbounded list.
-Components come from alternating large and small stars over the edges, each round written to the shared folder.
+Components come from alternating large and small stars over the edges, each round written to the shared folder. Hubs of the stars, hot fingerprints and hot groups are
+joined apart from the rest (`joined`), and `one_of_each` shuffles no text: it marks rows by their places in the files.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint 0, which links like any other; a text of one to three words is one shingle; repeated
 rows and repeated ids are nodes like others and share the smallest doc_id; a null doc_id gets a component but never names one, unless all are null; an empty
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_views, dropped, written
+from ._common import byte_views, chosen, cleared, dropped, joined, placed, written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 LEAST = 8 - BITS  # positional bytes that linked fingerprints share
@@ -87,26 +88,23 @@ def fingerprint(h: np.ndarray) -> int:
     return int(((counts * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, keep_hash: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; with keep_hash also hash, the text's."""
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    schema = "doc_id long, fp long"
-    if keep_hash:
-        columns.insert(1, F.xxhash64("text").alias("hash"))
-        schema = "doc_id long, hash long, fp long"
+def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the long columns in keep, and fp (the fingerprint as a signed long) of every row."""
+    keep = keep or []
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")]
+    names = ["doc_id", *keep, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts, sizes = byte_views(batch.column(batch.num_columns - 1))
             view = memoryview(raw)
             prints = np.array([fingerprint(hashes(bytes(view[a : a + n]))) for a, n in zip(starts.tolist(), sizes.tolist())], np.uint64)
-            names = [c.split()[0] for c in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64), pa.int64())], names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def tallied(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tallied(x: np.ndarray, y: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of fingerprints: whether they link, and their equal positional bytes as a bit mask."""
     apart = np.bitwise_xor(x, y)
     equal = np.ascontiguousarray(apart).astype("<u8").view(np.uint8).reshape(-1, 8) == 0
@@ -122,10 +120,8 @@ def forest(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             p = queue.pop()
-            apart = left ^ p
-            near = np.bitwise_count(apart) <= BITS
+            near, _ = tallied(left, p)
             if near.any():
-                near[near] = np.count_nonzero(apart[near].astype("<u8").view(np.uint8).reshape(-1, 8) == 0, axis=1) >= LEAST
                 new, left = left[near], left[~near]
                 out.append((np.full(len(new), p), new))
                 queue.extend(new)
@@ -210,12 +206,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least, least_path = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = joined(both, least.select("u", "m"), "u", least.select("u", "n"), 2 * seen[0]).where("v > u and v <> m")
+        large, large_path = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        again, again_path = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = joined(large, again.select("u", "m"), "u", again.select("u", "n"), 2 * seen[0]).where("v <> m")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(again.select("u", F.col("m").alias("v")))
         after, new_path = written(small.distinct(), "stars")
-        dropped(spark, path)
+        dropped(spark, path, least_path, large_path, again_path)
         now, path = after, new_path
         if (new := state(now)) == seen:
             break
@@ -223,42 +221,38 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """fp, component_id for every distinct fingerprint. prints: doc_id, fp of all rows, written."""
-    nodes, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(links(nodes.select("fp")))
-    rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id", "root")
+def rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, distinct, and other columns) with root, the smallest fingerprint that links reach. nodes: written."""
+    labels = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the rows that links reach) of every row."""
-    prints, _ = written(fingerprints(docs), "fingerprints")
-    named = grouped(prints).select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, prints_path = written(fingerprints(docs), "fingerprints")
+    nodes, nodes_path = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    keep = [prints_path, nodes_path]
+    with cleared(docs.sparkSession, keep):
+        known, _ = written(rooted(nodes), "roots")
+        names, _ = written(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "groups")
+        named = joined(known.select("root", "fp"), names.select("root", "component_id"), "root", names.select("root", "n"), known.count())
+        named, path = written(named.select("fp", "component_id"), "named")
+        keep.append(path)
+    out = joined(prints, named, "fp", nodes.select("fp", "n"), prints.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each group of near duplicates: its smallest (doc_id, text hash), nulls last."""
-    prints, _ = written(fingerprints(docs, keep_hash=True), "fingerprints")
-    rooted = grouped(prints).select("fp", "root")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    rows = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("n")).join(rooted, "fp")
-    keep = rows.groupBy("root").agg(F.min(F.struct(order.alias("key"), "n")).alias("best"))
-    kept = keep.select(F.col("best.key.doc_id").alias("doc_id"), F.col("best.key.hash").alias("hash"), F.col("best.n").alias("n"))
-    out = rows.join(kept.select("doc_id", "hash"), F.lit(True) & rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["hash"] == kept["hash"]), "left_anti")
-    gone, _ = written(out.select(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash")), "gone")
-    again, _ = written(kept.where("n > 1").select(F.col("doc_id").alias("_again_id"), F.col("hash").alias("_again_hash")), "again")
-    rows = docs.select(F.struct("*").alias("row"))
-
-    def matching(df: DataFrame, of: str):
-        return F.col("row.doc_id").cast("long").eqNullSafe(df[f"_{of}_id"]) & (F.xxhash64(F.col("row.text").cast("string")) == df[f"_{of}_hash"])
-
-    left = rows.join(gone, matching(gone, "gone"), "left_anti")
-    if again.isEmpty():
-        return left.select("row.*")
-    # equal rows under one doc_id: one of them stays
-    single = left.join(again, matching(again, "again"), "left_anti")
-    multiple = left.join(again, matching(again, "again")).groupBy("_again_id", "_again_hash").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(multiple).select("row.*")
+    """docs, all columns, with one row of each group of near duplicates: its smallest (doc_id, text hash), nulls last, the first in the files of equal ones."""
+    rows, keep = placed(docs), []
+    text = F.col("row.text").cast("string")
+    read = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), "file", "at")
+    with cleared(docs.sparkSession, keep):
+        prints, _ = written(fingerprints(read, ["hash", "file", "at"]), "fingerprints")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "file", "at")).alias("first")
+        nodes, _ = written(prints.groupBy("fp").agg(first), "nodes")
+        kept, path = written(rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at"), "kept")
+        keep.append(path)
+    out = chosen(rows, kept, keep=True)
+    dropped(docs.sparkSession, path)
+    return out
