@@ -144,7 +144,7 @@ def test_decontamination_cases(spark, monkeypatch):
     clean = decontam.clean(odd(spark), items)
     assert clean.columns == odd(spark).columns and clean.count() == len(ODD) - 3
     assert decontam.contaminated(empty(spark), items).count() == 0 and decontam.clean(odd(spark), items.limit(0)).count() == len(ODD)
-    monkeypatch.setattr(decontam, "SLICE_ITEMS", 1)  # several passes give the same
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 6000)  # several passes give the same
     assert {r.doc_id for r in decontam.contaminated(odd(spark), items).collect()} == {7, None}
 
 
