@@ -6,7 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -104,38 +104,59 @@ def placed(docs: DataFrame) -> DataFrame:
     return source.select(F.struct("*").alias("row"), F.xxhash64(meta.getField("file_path")).alias("file"), meta.getField("row_index").alias("at"))
 
 
-def chosen(rows: DataFrame, marked: DataFrame, keep: bool) -> DataFrame:
-    """The rows of placed() that marked (file, at) names (keep), or that it doesn't; all columns of docs.
+def page_of() -> tuple[Column, Column, Column]:
+    """Of a row at `at`: its page in the file, the word in the page, and its bit alone."""
+    at = F.col("at").cast("long")
+    return F.floor(at / PAGE), (F.floor(at / 64) % (PAGE // 64)).cast("int"), F.expr("shiftleft(1L, int(at % 64))")
+
+
+def words_of(listed: Column) -> Column:
+    """array<struct(word, bits)>, PAGE / 64 at most, as the page's words in order."""
+
+    def at_word(i: Column) -> Column:
+        return F.coalesce(F.get(F.transform(F.filter(listed, lambda x: x["word"] == i), lambda x: x["bits"]), F.lit(0)), F.lit(0).cast("long"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PAGE // 64 - 1)), at_word)
+
+
+def is_marked(bits: str) -> Column:
+    """Whether a row at `at` is marked in the column with its page's words (null: none are)."""
+    _, word, bit = page_of()
+    return F.coalesce(F.get(F.col(bits), word), F.lit(0).cast("long")).bitwiseAND(bit) != 0
 
-    No row is shuffled: marks become pages of bits, aggregated from narrow rows, and the table is read with its pages broadcast. Beyond BITS_BYTES of pages, files are
-    taken in several passes, each with the pages of its files, so every file is still read once.
+
+def paged(rows: DataFrame, pages: DataFrame, size: int, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """use(rows with the columns of their page, null where there is none). rows: as placed(); pages: file, page and other columns, written, of about `size` bytes a row.
+
+    The table is read with its pages broadcast, so no row is shuffled. Beyond BITS_BYTES of pages, files are taken in several passes, each with the pages of its files
+    only, and what they give is written; a filter on the file's name keeps other files unread.
     """
     spark = rows.sparkSession
-    at = F.col("at").cast("long")
-    words = marked.select("file", F.floor(at / PAGE).alias("page"), (F.floor(at / 64) % (PAGE // 64)).cast("int").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
-    words = words.groupBy("file", "page", "word").agg(F.bit_or("bit").alias("bits"))
-    listed = F.collect_list(F.struct("word", "bits"))  # PAGE / 64 at most
-    at_word = lambda i: F.coalesce(F.get(F.transform(F.filter("w", lambda x: x["word"] == i), lambda x: x["bits"]), F.lit(0)), F.lit(0).cast("long"))
-    pages = words.groupBy("file", "page").agg(listed.alias("w")).select("file", "page", F.transform(F.sequence(F.lit(0), F.lit(PAGE // 64 - 1)), at_word).alias("bits"))
-    pages, _ = written(pages, "pages")
-    passes = max(1, math.ceil(pages.count() * PAGE_BYTES / BITS_BYTES))
+    passes = max(1, math.ceil(pages.count() * size / BITS_BYTES))
+    names = [c for c in pages.columns if c not in ("file", "page")]
 
     def taken(some: DataFrame, of: DataFrame) -> DataFrame:
-        asked = some.withColumn("page", F.floor(at / PAGE))
-        of = F.broadcast(of.select(F.col("file").alias("_file"), F.col("page").alias("_page"), "bits"))
-        both = asked.join(of, (F.col("file") == F.col("_file")) & (F.col("page") == F.col("_page")), "left")
-        word = F.coalesce(F.get("bits", (F.floor(at / 64) % (PAGE // 64)).cast("int")), F.lit(0).cast("long"))
-        told = word.bitwiseAND(F.expr("shiftleft(1L, int(at % 64))")) != 0
-        return both.where(told if keep else ~told).select("row.*")
+        asked, of = some.withColumn("page", page_of()[0]), of.select(F.col("file").alias("_file"), F.col("page").alias("_page"), *names)
+        return use(asked.join(F.broadcast(of), (F.col("file") == F.col("_file")) & (F.col("page") == F.col("_page")), "left"))
 
     if passes == 1:
         return taken(rows, pages)
-    path = f"{scratch_dir(spark)}/chosen-{uuid.uuid4().hex}"
+    path, schema = f"{scratch_dir(spark)}/paged-{uuid.uuid4().hex}", taken(rows, pages).schema
     for i in range(passes):
         mine = F.pmod(F.col("file"), F.lit(passes)) == i
         taken(rows.where(mine), pages.where(mine)).write.mode("append").parquet(path)
     _SCRATCH.append(path)
-    return spark.read.schema(rows.schema["row"].dataType).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def chosen(rows: DataFrame, marked: DataFrame, keep: bool) -> DataFrame:
+    """The rows of placed() that marked (file, at) names (keep), or that it doesn't; all columns of docs. Marks become pages of bits, aggregated from narrow rows."""
+    page, word, bit = page_of()
+    words = marked.select("file", page.alias("page"), word.alias("word"), bit.alias("bit")).groupBy("file", "page", "word").agg(F.bit_or("bit").alias("bits"))
+    pages = words.groupBy("file", "page").agg(F.collect_list(F.struct("word", "bits")).alias("w")).select("file", "page", words_of(F.col("w")).alias("bits"))
+    pages, _ = written(pages, "pages")
+    told = is_marked("bits")
+    return paged(rows, pages, PAGE_BYTES, lambda both: both.where(told if keep else ~told).select("row.*"))
 
 
 HOT_KEYS = 1000

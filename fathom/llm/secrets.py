@@ -1,13 +1,14 @@
 """Secret scans through a trigram index, by DataFrame functions alone.
 
 Each rule's regular expression is analysed on the driver into a Boolean trigram query: a disjunction of alternatives, each a set of trigrams
-that every match of that alternative contains. The index is partitioned by document: every document's posting is the set of the queries' trigrams that
-occur in it, held as bits of one long per 63 trigrams; intersecting the postings of an alternative is a bitwise AND, and the documents that satisfy one of them are
-the rule's candidates, which alone are verified with the expression. Rules without mandatory trigrams (`hex`) scan every document.
-Nothing is shuffled and nothing leaves the JVM.
+that every match of that alternative contains. The index is inverted: the posting of a trigram names the documents that hold it, by their places in the files,
+as pages of bits; it is built in one pass over the texts, combined before it is shuffled, and written. The postings of an alternative's trigrams are
+intersected page by page, alternatives are united, and the documents whose bit is left are the rule's candidates. A second pass, in which the candidates' pages are broadcast,
+runs a rule's expression on its candidates only. Rules without mandatory trigrams (`hex`) scan every document. No text is shuffled and nothing leaves the JVM.
 
 Spans are code points, end exclusive. The base kinds `assign`, `access` and `hex` are found leftmost and non-overlapping, and a match that fails its
-length is dropped without a retry. The method adds the kinds in EXTRA; a private key's span is its whole block.
+length is dropped without a retry. The method adds the kinds in EXTRA; a private key's span is its whole block. Places of matches are sums over blocks of matches, so
+texts with very many of them take time in proportion. Redaction masks one kind after another, private keys first, in texts already masked.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole, whatever their length; spans of different kinds may overlap, and all
 are reported; repeated rows give repeated results; an empty table gives no rows; other columns are carried by `redacted` and not read otherwise.
@@ -15,14 +16,13 @@ are reported; repeated rows give repeated results; an empty table gives no rows;
 
 from __future__ import annotations
 
-
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound
+from ._common import bound, is_marked, page_of, paged, placed, words_of, written
 
 MASK = "[SECRET]"
 
@@ -118,65 +118,86 @@ def trigram_query(pattern: str, limit: int = 24) -> list[frozenset[str]] | None:
     return [x for x in dict.fromkeys(found) if not any(y < x for y in found)]
 
 
-def postings(text: Column, grams: list[str]) -> list[Column]:
-    """The document's posting: a long for each 63 trigrams, a bit for each that occurs, letter case aside."""
-    low, out = F.lower(text), []
-    for i in range(0, len(grams), 63):
-        bits = F.lit(0).cast("long")
-        for k, g in enumerate(grams[i : i + 63]):
-            bits = bits.bitwiseOR(F.when(F.contains(low, F.lit(g)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-        out.append(bits)
-    return out
+def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """gram (its number), file, page, word, bits: which documents hold each trigram, letter case aside. rows: as placed()."""
+    low = F.lower(F.col("row.text").cast("string"))
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
+    page, word, bit = page_of()
+    seen = rows.select("file", page.alias("page"), word.alias("word"), bit.alias("bit"), F.explode(held).alias("gram"))
+    return seen.groupBy("gram", "file", "page", "word").agg(F.bit_or("bit").alias("bits"))
 
 
-def candidate(query: list[frozenset[str]] | None, grams: list[str], words: list[str]) -> Column:
-    """Whether the postings satisfy a rule's query."""
-    if query is None:
-        return F.lit(True)
-    any_of = F.lit(False)
-    for need in query:
-        all_of = F.lit(True)
-        for i, word in enumerate(words):
-            if mask := sum(1 << k for k, g in enumerate(grams[63 * i : 63 * i + 63]) if g in need):
-                all_of = all_of & (F.col(word).bitwiseAND(F.lit(mask)) == F.lit(mask))
-        any_of = any_of | all_of
-    return any_of
+def intersected(index: DataFrame, queries: list[list[frozenset[str]] | None], grams: list[str]) -> DataFrame:
+    """rule, file, page, word, bits: each rule's candidates, for rules with a query. A word of an alternative stands if all its trigrams' postings have it."""
+    number = {g: k for k, g in enumerate(grams)}
+    asked = [(i, a, number[g], len(need)) for i, q in enumerate(queries) if q for a, need in enumerate(q) for g in sorted(need)]
+    table = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, ("rule", "alternative", "gram", "need"))]) for row in asked])
+    asked = index.sparkSession.range(1).select(F.inline(table))
+    key = ["file", "page", "word"]
+    met = index.join(F.broadcast(asked), "gram").groupBy("rule", "alternative", "need", *key)
+    all_of = met.agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).where("n = need and bits <> 0")
+    return all_of.groupBy("rule", *key).agg(F.bit_or("bits").alias("bits"))
 
 
+def candidates(rows: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Column]]:
+    """Pages (file, page, rule0, rule1, ...: words) of the rules' candidates, written, and for each rule the test of a row that has met its page."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    grams = sorted({g for q in queries if q for alternative in q for g in alternative})
+    asked = [i for i, q in enumerate(queries) if q is not None]
+    if not grams:
+        none = rows.sparkSession.range(0).select(F.col("id").alias("file"), F.col("id").alias("page"))
+        return none, [F.lit(True)] * len(rules)
+    index, _ = written(postings(rows, grams), "postings")
+    found = intersected(index, queries, grams)
+    each = [F.collect_list(F.when(F.col("rule") == i, F.struct("word", "bits"))).alias(f"rule{i}") for i in asked]  # PAGE / 64 at most
+    pages = found.groupBy("file", "page").agg(*each).select("file", "page", *[words_of(F.col(f"rule{i}")).alias(f"rule{i}") for i in asked])
+    pages, _ = written(pages, "candidates")
+    return pages, [is_marked(f"rule{i}") if i in asked else F.lit(True) for i in range(len(rules))]
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct(start, ord, end, kind, from, to)> of one rule's matches in a text; from, to: the part to mask."""
+
+SPAN = "struct<start:int,ord:int,end:int,kind:string>"
+RUN = 128  # matches whose places are summed at a time
+
+
+def _parts(text: Column, rule: Rule) -> Column:
+    """gaps (one more than matches), full (matches) and tested (the group of each whose length counts)."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    between = F.split(text, rule.pattern, -1)
-    kind = "array<struct<start:int,ord:int,end:int,kind:string,mask:int>>"
-
-    def placed(parts: Column) -> Column:
-        gaps, full, tested = parts["gaps"], parts["full"], parts["tested"]
-        first = F.aggregate(
-            F.sequence(F.lit(0), F.size(full) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-            lambda acc, i: F.struct(
-                (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(full, i))).alias("at"),
-                F.when(
-                    F.length(F.get(tested, i)) >= rule.least,
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                (acc["at"] + F.length(F.get(gaps, i))).alias("start"), F.lit(order).alias("ord"),
-                                (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(full, i))).alias("end"), F.lit(rule.kind).alias("kind"),
-                                (F.length(F.get(tested, i)) if rule.value else F.length(F.get(full, i))).alias("mask"),
-                            )
-                        ).cast(kind),
-                    ),
-                ).otherwise(acc["out"]).alias("out"),
-            ),
-        )
-        return F.when(F.size(full) > 0, first["out"]).otherwise(F.array().cast(kind))
-
-    return bound(F.struct(between.alias("gaps"), whole.alias("full"), kept.alias("tested")), placed)
+    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
+    return F.struct(F.split(text, rule.pattern, -1).alias("gaps"), whole.alias("full"), tested.alias("tested"))
+
+
+def rule_spans(text: Column, rule: Rule, order: int) -> Column:
+    """array<SPAN> of one rule's matches in a text, in time in proportion to them: places are summed in runs of RUN, and runs moved to where they begin."""
+
+    def placed_in(parts: Column) -> Column:
+        sizes = F.zip_with(F.slice(parts["gaps"], F.lit(1), F.size(parts["full"])), parts["full"], lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("match")))
+        sizes = F.zip_with(sizes, parts["tested"], lambda s, t: F.struct(s["gap"].alias("gap"), s["match"].alias("match"), F.length(t).alias("tested")))
+        return bound(sizes, lambda each: F.when(F.size(each) > 0, bound(runs(each), moved)).otherwise(F.array().cast(f"array<{SPAN}>")))
+
+    def runs(each: Column) -> Column:
+        def one(i: Column) -> Column:
+            none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+            return F.aggregate(F.slice(each, i * RUN + 1, F.lit(RUN)), none, step)
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / RUN).cast("int")), one)
+
+    def step(acc: Column, m: Column) -> Column:
+        start = acc["at"] + m["gap"]
+        end = start + m["match"]
+        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind")).cast(SPAN)
+        return F.struct(end.alias("at"), F.when(m["tested"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def moved(of: Column) -> Column:
+        firsts = F.aggregate(of, F.array(F.lit(0)), lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + r["at"]))
+
+        def shifted(first: Column) -> Column:
+            put = lambda s, by: F.struct((s["start"] + by).alias("start"), s["ord"].alias("ord"), (s["end"] + by).alias("end"), s["kind"].alias("kind")).cast(SPAN)
+            return F.flatten(F.transform(of, lambda r, i: F.transform(r["out"], lambda s: put(s, F.get(first, i)))))
+
+        return bound(firsts, shifted)
+
+    return bound(_parts(text, rule), placed_in)
 
 
 def _tightened(rule: Rule) -> Rule:
@@ -190,22 +211,18 @@ def _tightened(rule: Rule) -> Rule:
 
 
 def scanned(docs: DataFrame, rules: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """keep (columns of docs), text and secrets: array<struct(start, ord, end, kind, mask)> by start, then kind as listed."""
-    rules = [_tightened(r) for r in rules or BASE + EXTRA]
-    queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted({g for q in queries if q for alternative in q for g in alternative})
-    keep = keep or []
-    base = docs.select(*[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    posted = postings(F.col("_text"), grams)
-    words = [f"_posting{i}" for i in range(len(posted))]
-    base = base.withColumns(dict(zip(words, posted)))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,mask:int>>")
-    each = {
-        f"_rule{i}": F.when(candidate(q, grams, words) & F.col("_text").rlike(r.pattern), rule_spans(F.col("_text"), r, i)).otherwise(none)
-        for i, (r, q) in enumerate(zip(rules, queries))
-    }
-    out = base.withColumns(each)
-    return out.select(*[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)], F.col("_text").alias("text"), F.array_sort(F.concat(*each)).alias("secrets"))
+    """keep (columns of docs), text and secrets: array<struct(start, ord, end, kind)> by start, then kind as listed."""
+    rules, rows = [_tightened(r) for r in rules or BASE + EXTRA], placed(docs)
+    pages, asked = candidates(rows, rules)
+
+    def verified(both: DataFrame) -> DataFrame:
+        read = both.select(*[F.col(f"row.{k}").alias(f"_keep{i}") for i, k in enumerate(keep or [])], F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("_text"), *[c.alias(f"_asked{i}") for i, c in enumerate(asked)])
+        none = F.array().cast(f"array<{SPAN}>")
+        each = {f"_rule{i}": F.when(F.col(f"_asked{i}") & F.col("_text").rlike(r.pattern), rule_spans(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules)}
+        out = read.withColumns(each)
+        return out.select(*[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep or [])], F.col("_text").alias("text"), F.array_sort(F.concat(*each)).alias("secrets"))
+
+    return paged(rows, pages, 64 + 96 * len(rules), verified)
 
 
 def _text_of(spans: Column) -> Column:
@@ -223,33 +240,36 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"), _text_of(F.col("secrets")).alias("spans"))
 
 
+def masked(text: Column, rule: Rule) -> Column:
+    """A text with the rule's values masked: its gaps and matches joined again."""
+
+    def piece(gap: Column, full: Column, tested: Column) -> Column:
+        head = F.substring(full, F.lit(1), F.length(full) - F.length(tested)) if rule.value else F.lit("")
+        return F.concat(gap, F.when(F.length(tested) >= rule.least, F.concat(head, F.lit(MASK))).otherwise(full))
+
+    def joined(parts: Column) -> Column:
+        n = F.size(parts["full"])
+        pairs = F.zip_with(F.slice(parts["gaps"], F.lit(1), n), parts["full"], lambda g, m: F.struct(g.alias("gap"), m.alias("full")))
+        told = F.zip_with(pairs, parts["tested"], lambda p, t: piece(p["gap"], p["full"], t))
+        return F.concat(F.array_join(told, ""), F.element_at(parts["gaps"], -1))
+
+    return bound(_parts(text, rule), joined)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every secret's value masked in text, and n_chars, where there is such a column, made to fit; null texts stay null."""
-    found = scanned(docs.select(F.struct("*").alias("row"), "text"), keep=["row"])
-
-    def masked(both: Column) -> Column:
-        text, spans = both["text"], both["secrets"]
-        walked = F.aggregate(
-            spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda acc, s: bound(
-                s["end"] - s["mask"],
-                lambda begin: F.when(s["end"] <= acc["at"], acc).otherwise(
-                    F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(begin - acc["at"], F.lit(0))), F.lit(MASK)).alias("out"))
-                ),
-            ),
-        )
-        return bound(walked, lambda w: F.concat(w["out"], F.substring(text, w["at"] + 1, F.length(text))))
-
-    text = F.when(F.size("secrets") > 0, bound(F.struct("text", "secrets"), masked)).otherwise(F.col("row.text"))
-    names = docs.columns
-    fixed = found.select("row", text.alias("_new"), (F.size("secrets") > 0).alias("_hit"))
-    out = []
-    for n in names:
-        if n == "text":
-            out.append(F.col("_new").alias("text"))
-        elif n == "n_chars":
-            kind = dict(docs.dtypes)["n_chars"]
-            out.append(F.when(F.col("_hit"), F.length("_new").cast(kind)).otherwise(F.col("row.n_chars")).alias(n))
-        else:
-            out.append(F.col("row").getField(n).alias(n))
-    return fixed.select(*out)
+    rules = sorted((_tightened(r) for r in BASE + EXTRA), key=lambda r: r.kind != "private_key")
+    rows = placed(docs)
+    pages, asked = candidates(rows, rules)
+
+    def put(both: DataFrame) -> DataFrame:
+        out = both.select("row", F.col("row.text").cast("string").alias("_text"), *[c.alias(f"_asked{i}") for i, c in enumerate(asked)])
+        for i, r in enumerate(rules):
+            out = out.withColumn("_text", F.when(F.col(f"_asked{i}") & F.col("_text").rlike(r.pattern), masked(F.col("_text"), r)).otherwise(F.col("_text")))
+        hit = ~F.col("_text").eqNullSafe(F.col("row.text").cast("string"))
+        new = {"text": F.col("_text")}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(hit, F.length("_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+        return out.select(*[new.get(n, F.col("row").getField(n)).alias(n) for n in docs.columns])
+
+    return paged(rows, pages, 64 + 96 * len(rules), put)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import ann, chat, decontam, packing, pii, quality, secrets, sharding, simhash, urlfilter
+from fathom.llm import _common, ann, chat, decontam, packing, pii, quality, secrets, sharding, simhash, urlfilter
 from fathom.llm import queries as Q
 from fathom.llm._common import table
 from fathom.llm.recall import exact
@@ -369,6 +370,66 @@ def test_one_of_each(spark, sf_dir):
     assert simhash.one_of_each(empty(spark)).count() == 0 and simhash.near_duplicates(empty(spark)).count() == 0
 
 
+# ---- rows by their places
+
+
+@pytest.mark.parametrize("bits_bytes", [256_000_000, 300])
+def test_chosen_rows(spark, tmp_path, monkeypatch, bits_bytes):
+    monkeypatch.setattr(_common, "BITS_BYTES", bits_bytes)
+    path = str(tmp_path / "rows")
+    spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 3).alias("text"), F.lit(1).alias("file"), F.lit(1).alias("at"), F.lit(2).alias("_metadata")).repartition(5).write.parquet(path)
+    for docs in (spark.read.parquet(path), spark.read.parquet(path).where("doc_id >= 100"), spark.read.parquet(path).unionByName(spark.read.parquet(path))):
+        rows = _common.placed(docs)
+        marked = rows.where("row.doc_id % 7 = 3").select("file", "at")
+        assert sorted(map(tuple, _common.chosen(rows, marked, True).collect())) == sorted(map(tuple, docs.where("doc_id % 7 = 3").collect()))
+        assert _common.chosen(rows, marked, False).columns == docs.columns
+        assert _common.chosen(rows, marked, False).count() == docs.where("doc_id % 7 <> 3").count()
+        assert _common.chosen(rows, marked.limit(0), True).count() == 0
+
+
+def exchanged(df):
+    """Names of the columns of every exchange in a plan without broadcasts by size."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() in ("Exchange", "ShuffleExchange"):
+            out += [plan.output().apply(i).name() for i in range(plan.output().size())]
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return out
+
+
+def test_filters_shuffle_no_texts(spark, sf_dir, monkeypatch):
+    plans, real = [], _common.written
+
+    def spied(df, label):
+        plans.extend(exchanged(df))
+        return real(df, label)
+
+    for module in (_common, simhash, decontam, secrets):
+        monkeypatch.setattr(module, "written", spied)
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (simhash.one_of_each(docs), decontam.clean(docs, items), secrets.redacted(docs)):
+            plans += exchanged(found)
+            assert 0 < found.count() <= docs.count()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {"fp", "gram"} <= set(plans) and not {"text", "row", "sh", "local", "_text"} & set(plans)
+
+
+@pytest.mark.parametrize("hot_keys", [1000, 3])
+def test_joined_by_hot_keys(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(_common, "HOT_KEYS", hot_keys)
+    left = spark.range(3000).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = left.select("k").distinct().where("k <> 4").withColumn("v", F.col("k") * 10)
+    got = _common.joined(left, right, "k", left.groupBy("k").agg(F.count("*").alias("n")), 3000)
+    assert got.columns == ["k", "id", "v"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
+
+
 # ---- 6 URL filters
 
 
@@ -514,6 +575,50 @@ def test_trigram_queries():
     assert found and all(any(g <= {w[i : i + 3] for i in range(len(w))} for g in found) for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
 
 
+def test_postings_are_intersected(spark, tmp_path):
+    words = ["password", "passwd", "assword", "token", "tok", "ken", "akia", "kia", "é", "PASSWORD=abcdef", "AKIAX"]
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, " ".join(rng.choice(words) for _ in range(rng.randrange(4)))])) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    places = _common.placed(spark.read.parquet(str(tmp_path / "d")))
+    rules = secrets.BASE
+    grams = sorted({g for r in rules for a in secrets.trigram_query(r.pattern) or () for g in a})
+    index = secrets.postings(places, grams)
+    bits = lambda r: {(r.file, r.page * 512 + r.word * 64 + k) for k in range(64) if r.bits >> k & 1}
+    texts = {(r.file, r["at"]): (r.row.text or "").lower() for r in places.collect()}
+    posting = defaultdict(set)
+    for r in index.collect():
+        posting[grams[r.gram]] |= bits(r)
+    assert {g: {p for p, t in texts.items() if g in t} for g in grams} == {g: posting[g] for g in grams}
+    got = defaultdict(set)
+    for r in secrets.intersected(index, [secrets.trigram_query(r.pattern) for r in rules], grams).collect():
+        got[r.rule] |= bits(r)
+    for i, r in enumerate(rules):
+        query = secrets.trigram_query(r.pattern)
+        assert got[i] == ({p for p, t in texts.items() if any(all(g in t for g in a) for a in query)} if query else set())
+
+
+def test_only_candidates_are_read(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "token=abcdef AKIA" + "A" * 20), (2, "0f" * 20)], "doc_id long, text string")
+    monkeypatch.setattr(secrets, "trigram_query", lambda p: [frozenset({"zzz"})] if p.startswith("AKIA") else [frozenset({"tok"})] if "token" in p else None)
+    got = {r.doc_id: r for r in secrets.digest(secrets.scanned(df, secrets.BASE, ["doc_id"])).collect()}
+    assert (got[1].n_assign, got[1].n_access, got[2].n_hex) == (1, 0, 1)  # the expression isn't run where no posting asks for it
+
+
+def test_secret_places_take_time_in_proportion(spark):
+    took = {}
+    for n in (4000, 32_000):
+        text = " ".join(f"token=abc{i:06d}é" for i in range(n)) + " token=ab"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        [got] = secrets.digest(secrets.scanned(df, keep=["doc_id"])).collect()
+        masked = secrets.redacted(df).collect()[0].text
+        took[n] = time.time() - began
+        assert got.n_assign == n and got.spans.split(",")[-1] == f"assign:{(n - 1) * 17}:{(n - 1) * 17 + 15}"
+        assert masked.count("[SECRET]") == n and masked.endswith("token=ab")
+    assert took[32_000] < 12 * took[4000] + 5
+
+
 def test_redaction(spark):
     out = secrets.redacted(odd(spark))
     assert out.columns == odd(spark).columns and out.count() == len(ODD)
