@@ -299,6 +299,67 @@ def test_pii_network_finds_what_it_was_taught():
     assert pii.tagged(net, [pii.coded("no data here at all " * 50)]) == [[]]
 
 
+def test_pii_scores_and_windows():
+    rng = np.random.default_rng(3)
+    p = pii.initial(rng)
+    codes = rng.integers(0, 129, (5, 40)).astype(np.uint8)
+    assert np.allclose(pii.scored(p, codes).transpose(0, 2, 1), pii.emissions(p, codes)[0], atol=1e-4)
+    for size in (0, 1, pii.WINDOW, pii.WINDOW + 1, 5000):
+        decided = [s + i for s, a, b in pii.windows(size) for i in range(a, b)]
+        assert decided == list(range(size)) and all(0 <= a and b <= pii.WINDOW for _, a, b in pii.windows(size))
+
+
+def test_pii_closed_places_are_o_on_the_best_path():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        p = pii.initial(rng)
+        p["trans"] = rng.normal(0, 2, p["trans"].shape).astype(np.float32)
+        n = int(rng.integers(3, 120))
+        e = rng.normal(0, 1.5, (n, 1, pii.TAGS)).astype(np.float32)
+        e[:, 0, 0] += rng.choice([0, 3, 6])
+        wall = np.full((1, 1, pii.TAGS), -1e4, np.float32)
+        wall[..., 0] = 0
+        path = pii.viterbi(p | {"first": np.zeros(pii.TAGS, np.float32)}, np.concatenate([wall, e, wall]))[0, 1:-1]
+        closed = ~pii.open_places(p, e[:, 0, 1:].max(axis=1) - e[:, 0, 0])
+        assert (path[closed] == 0).all()
+
+
+@pytest.fixture(scope="module")
+def taught(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    return pii.fitted(pii.training_texts(docs)), [r.text or "" for r in docs.select("text").collect()]
+
+
+def test_pii_network_adds_what_no_base_rule_finds(taught):
+    net, real = taught
+    held, truth = pii.planted([t[-3000:] for t in real], np.random.default_rng(99), 800)
+    base = [pii.base_spans(t) for t in held]
+    right = wrong = met = there = 0
+    for t, b, w, more in zip(held, base, truth, pii.all_spans(net, held)):
+        own = {s for s in w if not any(s[1] < z and a < s[2] for _, a, z in b)}
+        got = set(more[1]) - set(b)
+        assert set(b) <= set(more[1])
+        right, wrong = right + sum(pii.half_met(x, w) for x in got), wrong + sum(not pii.half_met(x, w) for x in got)
+        met, there = met + sum(pii.half_met(x, list(got)) for x in own), there + len(own)
+    assert right / (right + wrong) > 0.95 and met / there > 0.8 and there > 200
+    assert sum(len(set(s) - set(b)) for b, s in pii.all_spans(net, real)) <= len(real) // 200  # texts without such data are left alone
+
+
+def test_pii_long_texts_are_decoded_whole(taught, monkeypatch):
+    net, real = taught
+    plain = " ".join(t for t in real if not re.search("[0-9@]", t))[:150_000]
+    planted = [30_000, pii.SECTION - 12, pii.SECTION + 3, 2 * pii.SECTION - 5, 140_000]
+    text = plain
+    for at in planted:
+        text = f"{text[:at]} 10[.]1[.]2[.]33 {text[at:]}"
+    [(base, got)] = pii.all_spans(net, [text])
+    assert base == [] and sum(k == 1 and text[a:z] == "10[.]1[.]2[.]33" for k, a, z in got) >= 4
+    monkeypatch.setattr(pii, "SECTION", 1000)
+    [(_, again)] = pii.all_spans(net, [text])
+    assert len(set(again) & set(got)) >= 0.8 * len(got)
+    assert pii.all_spans(net, ["7" * 130_000, "", "é"])[0][0] == []
+
+
 def test_pii_cases(spark):
     assert pii.found(empty(spark)).count() == 0
     got = pii.digest(pii.found(odd(spark))).collect()
