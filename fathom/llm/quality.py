@@ -1,10 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Learned filters slide over the bytes of overlapping chunks that cover the whole document, beside a bank of dilated
-two-byte filters (a byte against the one LAG earlier, which no narrow filter can compare); each filter is max-pooled inside its chunk,
-the bank over its lags, the chunks' maxima are combined (their maximum and their mean over the document), and one logistic unit
-turns them into one probability. Training is plain numpy on the driver, over a bounded sample of labelled rows;
-scoring is one map over Arrow batches, with no shuffle, and every byte of every document is read.
+Learned filters slide over the bytes of overlapping chunks that cover the whole document; each filter is max-pooled inside its chunk, the chunks' maxima are
+combined (their maximum and their mean over the document), and one logistic unit turns them into one probability. Training is plain numpy on the driver, over a bounded
+sample of labelled rows; scoring is one map over Arrow batches, with no shuffle, and every byte of every document is read.
 
 Defined cases: a null or empty text is one chunk of padding and gets that chunk's score; a text of any length is cut
 into chunks, so memory is bounded by the block of chunks, not by the text; repeated rows get equal scores; an empty table gives
@@ -21,18 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_views
+from ._common import byte_views, dropped, written
 
 CHUNK, OVERLAP, STRIDE, WIDTH = 512, 64, 4, 8
 EMBED, FILTERS = 8, 24
-LAGS = 40  # dilations of the two-byte filters
-WIDE = FILTERS + 1  # pooled values of a chunk
 BLOCK = 192  # chunks convolved at a time
-TRAIN_ROWS = 2048  # labelled rows that training may use, half of each class
+TRAIN_ROWS = 4096  # labelled rows that training may use, half of each class
 TRAIN_BYTES = 32768  # of a labelled text
 PIECES = 16  # that a longer text is cut to
 EPOCHS, BATCH, RATE = 8, 32, 0.01
-LEAST_STEPS = 500  # small samples are gone through more often
+LEAST_STEPS = 900  # small samples are gone through more often
 THRESHOLD = 0.7
 
 
@@ -76,28 +72,16 @@ def convolved(net: Network, x: np.ndarray, length: np.ndarray) -> np.ndarray:
     return z
 
 
-def periodic(x: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The two-byte filters' largest mean response in each chunk, over all lags."""
-    wide, top = np.maximum(length, 64).astype(np.float32), np.zeros(len(x), np.float32)
-    real = x != 0
-    for lag in range(1, LAGS + 1):
-        same = (x[:, lag:] == x[:, :-lag]) & real[:, lag:]
-        np.maximum(top, np.count_nonzero(same, axis=1) / wide, out=top)
-    return top
-
-
 def scores(net: Network, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if net.constant is not None:
         return np.full(len(sizes), net.constant)
     if not len(sizes):
         return np.zeros(0)
     at, length, _, first = chunk_starts(starts, sizes)
-    top = np.empty((len(at), WIDE), np.float32)
+    top = np.empty((len(at), FILTERS), np.float32)
     for i in range(0, len(at), BLOCK):
         part = slice(i, i + BLOCK)
-        x = gathered(raw, at[part], length[part])
-        top[part, :FILTERS] = convolved(net, x, length[part]).max(axis=1)
-        top[part, FILTERS] = periodic(x, length[part])
+        top[part] = convolved(net, gathered(raw, at[part], length[part]), length[part]).max(axis=1)
     count = np.diff(np.append(first, len(at)))[:, None]
     pooled = np.hstack([np.maximum.reduceat(top, first, axis=0), np.add.reduceat(top.astype(np.float64), first, axis=0) / count])
     return 1 / (1 + np.exp(-np.clip(pooled @ net.weight.astype(np.float64) + net.offset, -30, 30)))
@@ -112,7 +96,7 @@ def train(texts: list[bytes], labels: list[int], prior: float = 0.5, seed: int =
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32),
-        np.full(FILTERS, -0.1, np.float32), rng.normal(0, 0.1, 2 * WIDE).astype(np.float32), 0.0,
+        np.full(FILTERS, -0.1, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0,
     )
     net.embed[0] = 0
     if not len(y) or y.min() == y.max():
@@ -132,12 +116,11 @@ def train(texts: list[bytes], labels: list[int], prior: float = 0.5, seed: int =
             sizes = np.array([len(t) for t in part], np.int64)
             at, length, doc, first = chunk_starts(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
             x = gathered(raw, at, length)
-            top, place = np.empty((len(at), WIDE), np.float32), np.empty((len(at), FILTERS), np.int64)
+            top, place = np.empty((len(at), FILTERS), np.float32), np.empty((len(at), FILTERS), np.int64)
             for j in range(0, len(at), BLOCK):
                 z = convolved(net, x[j : j + BLOCK], length[j : j + BLOCK])
                 place[j : j + BLOCK] = z.argmax(axis=1)
-                top[j : j + BLOCK, :FILTERS] = z.max(axis=1)
-            top[:, FILTERS] = periodic(x, length)
+                top[j : j + BLOCK] = z.max(axis=1)
             count = np.diff(np.append(first, len(at)))[:, None]
             most = np.maximum.reduceat(top, first, axis=0)
             pooled = np.hstack([most, np.add.reduceat(top, first, axis=0) / count])
@@ -146,7 +129,7 @@ def train(texts: list[bytes], labels: list[int], prior: float = 0.5, seed: int =
             back = slope[:, None] * net.weight
             carriers = top == most[doc]  # chunks that hold the document's maximum share its slope
             held = np.add.reduceat(carriers.astype(np.float32), first, axis=0)
-            to_chunk = ((back[doc, :WIDE] * carriers / held[doc] + back[doc, WIDE:] / count[doc]) * (top > 0))[:, :FILTERS]
+            to_chunk = (back[doc, :FILTERS] * carriers / held[doc] + back[doc, FILTERS:] / count[doc]) * (top > 0)
             spots = place[:, :, None] * STRIDE + np.arange(WIDTH)
             bytes_at = x[np.arange(len(x))[:, None, None], spots]
             seen = net.embed[bytes_at].reshape(len(x), FILTERS, WIDTH * EMBED)
@@ -183,13 +166,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
-    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    known, path = written(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "known-labels")
     prior = known.agg(F.avg("y")).first()[0]
     first = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for c in (0, 1)]
-    chosen = [(r["doc_id"], r["y"]) for df in first for r in df.collect()]
+    spark, chosen = docs.sparkSession, [(r["doc_id"], r["y"]) for df in first for r in df.collect()]
+    dropped(spark, path)
     if not chosen:
         return [], [], 0.5
-    spark = docs.sparkSession
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # TRAIN_ROWS rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     size, piece = F.octet_length("text").cast("long"), TRAIN_BYTES // PIECES
