@@ -4,7 +4,8 @@ An example is a vector: its tokens, its segments (one) and its loss-bearing toke
 a time: of the waiting examples that still fit, the one whose vector has the largest dot product with the bin's remaining capacity (both as shares of
 the limits) goes in, until none fits. Where examples may be cut (documents; not instruction examples), what is longer than a sequence is cut into
 full sequences first, a bin in which nothing fits is filled by the head of the largest waiting example, and a bin that stays short (the last of
-a task) is cut into lengths that are powers of two, which are not padded.
+a task) is cut into lengths that are powers of two, which are not padded. Where they may not be cut, an example over a limit fits no sequence: it is given whole, as
+one piece without a sequence (null sequence_id, offset and segment), so that no row is lost and none stops the job.
 
 Each task packs the rows it reads, POOL examples at a time, carrying what waits to the next pool: no shuffle, memory bounded by the pool and one document. Sequence
 ids hold the task's number above 33 bits, so they are unique and the same when a lost task runs again over the same files.
@@ -77,7 +78,8 @@ def public(name: str = "byte_bpe_50k") -> Callable[[str], np.ndarray]:
 
 
 def fill(sizes: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Bins of (example, first token, tokens), and what waits for the next pool (same form). loss: an example's loss-bearing tokens, without cutting.
+    """Bins of (example, first token, tokens), and what waits for the next pool (same form). loss: an example's loss-bearing tokens, without cutting. No example
+    may exceed a limit unless it may be cut.
 
     Without `last`, packing stops as soon as the waiting tokens fill less than four bins.
     """
@@ -119,7 +121,7 @@ def fill(sizes: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last: b
                     alive = np.delete(alive, at)
             else:
                 break
-        if not held:  # an example that fits no empty bin
+        if not held:
             i = int(alive[0])
             raise ValueError(f"an example of {left[i]} tokens, {free[i]} of them loss-bearing, exceeds the limits {limits}")
         bins.append(held)
@@ -159,7 +161,7 @@ def packed(
 ) -> DataFrame:
     """One row per piece (SCHEMA): ids are its token ids, little-endian unsigned 32-bit; start counts its document's ids before it, offset the sequence's.
 
-    cut=False keeps examples whole, for instruction data; prompt_tokens names a column with the number of leading tokens that bear no loss.
+    cut=False keeps examples whole, for instruction data, and those over a limit out of all sequences; prompt_tokens names a column with the number of leading tokens that bear no loss.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     columns.append(F.coalesce(F.col(prompt_tokens).cast("int"), F.lit(0)).alias("prompt") if prompt_tokens else F.lit(0).alias("prompt"))
@@ -198,8 +200,11 @@ def packed(
             for k in range(batch.num_rows):
                 doc, text, prompt = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
                 ids = np.concatenate([tokens(text).astype("<u4"), tail])
-                if len(ids):
-                    pool.append((doc, ids, 0, len(ids), max(0, len(ids) - max(1, prompt))))
+                loss = max(0, len(ids) - max(1, prompt))
+                if not cut and (len(ids) > limits.tokens or loss > limits.loss):
+                    out.append((doc, 0, len(ids), ids.tobytes(), len(ids), None, None, None, loss))
+                elif len(ids):
+                    pool.append((doc, ids, 0, len(ids), loss))
                     waiting += len(ids)
                 if len(pool) >= POOL or waiting >= POOL * limits.tokens:
                     place(False)
