@@ -4,7 +4,8 @@ A row's shard follows from its key and the number of shards alone: no ring table
 either stays or moves into the new shard, and about one in n+1 rows moves.
 
 Slots number a shard's rows without gaps. They come from two levels, so that no task sorts a whole shard: rows fall into cells (shard, part of the
-key's hash), a small table of cell counts gives every cell its first slot, and rows are numbered inside cells. The number of cells follows the number of rows.
+hash of their place in the reading), a small table of cell counts gives every cell its first slot, and rows are numbered inside cells. The number of cells follows the
+number of rows, and neither a hot key nor a hot row fills one. The placed rows are written, without texts, so texts are read once.
 
 Defined cases: a null key counts as the hash of a null, so such rows share a shard; a null text has no bytes; repeated keys share a shard and have slots of
 their own; an empty table gives no rows; only key and text are read, and `written_shards` keeps all columns.
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import written
+
 SHARDS = 40
 CELL_ROWS = 20_000
 
@@ -65,13 +68,13 @@ def assigned(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> Data
                 [*batch.columns, pa.array(jump(h, shards), pa.int32()), pa.array(jump(h, shards + 1), pa.int32())], [*batch.schema.names, "shard", "grown_shard"]
             )
 
-    placed = hashed.mapInArrow(run, "doc_id long, size long, text_crc32 long, h long, shard int, grown_shard int")
-    # a hot key's rows fall into cells of their own by their text
-    placed = placed.select("*", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)).cast("int").alias("cell"))
+    placed = hashed.mapInArrow(run, "doc_id long, size long, text_crc32 long, h long, shard int, grown_shard int").drop("h")
+    placed, _ = written(placed.withColumn("place", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size", "place")
     numbered = placed.withColumn("rank", F.row_number().over(inside) - 1).join(firsts, ["shard", "cell"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), "grown_shard"
