@@ -7,6 +7,8 @@ A log of events is partitioned by conversation, sorted by sequence number and fo
 - `edit` replaces a message's text;
 - `regenerate` drops a message's text and all messages after it, and streams anew.
 
+A record of the log may carry further events in `parts`, in order: what a stream sent under one sequence number.
+
 The final messages are rendered by a template that marks turns:
 
     <turn ROLE>
@@ -19,7 +21,7 @@ Rendering streams a conversation's turns: each is a row of its own (position, st
 a conversation's messages are held; after it, and so in a log that is never edited, one turn at a time. One conversation stays in one task, as its
 turns follow one another.
 
-Defined cases: a null text or role is empty; rows with the same sequence number stand in order of role and text; repeated rows are turns of their own; a null
+Defined cases: a null text or role is empty; records with the same sequence number stand in order of role, text and parts; repeated rows are turns of their own; a null
 conversation id is a conversation; empty conversations give nothing; an empty table gives no rows; other columns are not read.
 """
 
@@ -30,12 +32,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string"
+PARTS = "array<struct<kind:string,message:bigint,text:string>>"
 TURNS = "conv_id long, position long, start long, rendered string, loss_start long, loss_end long"
 OUT_BYTES = 8_000_000
+DELTA = 256  # characters that a stream sends at a time
 _UNDO = {"\\\\": "\\", "\\l": "<", "\\n": "\n"}
 
 
@@ -69,47 +73,54 @@ def parse(rendered: str) -> list[tuple[str, str]]:
     return out
 
 
-def folded(events: Iterator[tuple]) -> Iterator[list]:
-    """Final messages [conv_id, message, role, text] of events (conv_id, seq, kind, message, role, text, last_change), by conversation and sequence.
+def folded(records: Iterator[tuple]) -> Iterator[tuple]:
+    """Final messages (conv_id, message, role, text) of records (conv_id, seq, kind, message, role, text, parts, last_change), by conversation and sequence.
 
     last_change: the sequence number of the conversation's last event that can reach back; beyond it, a message leaves as the next one opens.
     """
-    conv, open_, held = object(), None, []
-    for c, seq, kind, message, role, text, last_change in events:
+    conv, open_, held = object(), None, []  # held: [conv_id, message, role, pieces of the text]
+
+    def out() -> Iterator[tuple]:
+        for c, message, role, pieces in held:
+            yield c, message, role, "".join(pieces)
+
+    for c, seq, kind, message, role, text, parts, last_change in records:
         if c != conv:
-            yield from held
+            yield from out()
             conv, held, open_ = c, [], None
-        text = text or ""
-        if kind == "message":
-            if held and (last_change is None or seq is not None and seq > last_change):
-                yield from held
-                held = []
-            held.append([c, message, role or "", text])
-            open_ = held[-1]
-            continue
-        target = next((x for x in reversed(held) if x[1] == message), None) if message is not None else open_
-        if target is None:  # the log's head is lost: the event opens the message it names
-            held.append([c, message, role or "", text])
-            open_ = held[-1]
-        elif kind == "delta":
-            target[3] += text
-        elif kind == "edit":
-            target[3] = text
-        elif kind == "regenerate":
-            del held[next(i for i, x in enumerate(held) if x is target) + 1 :]
-            target[3], open_ = text, target
-        else:
-            raise ValueError(f"unknown event kind {kind!r}")
-    yield from held
+        for kind, message, text in [(kind, message, text), *[(p["kind"], p["message"], p["text"]) for p in parts or ()]]:
+            text = text or ""
+            if kind == "message":
+                if held and (last_change is None or seq is not None and seq > last_change):
+                    yield from out()
+                    held = []
+                held.append([c, message, role or "", [text]])
+                open_ = held[-1]
+                continue
+            target = next((x for x in reversed(held) if x[1] == message), None) if message is not None else open_
+            if target is None:  # the log's head is lost: the event opens the message it names
+                held.append([c, message, role or "", [text]])
+                open_ = held[-1]
+            elif kind == "delta":
+                target[3].append(text)
+            elif kind == "edit":
+                target[3] = [text]
+            elif kind == "regenerate":
+                del held[next(i for i, x in enumerate(held) if x is target) + 1 :]
+                target[3], open_ = [text], target
+            else:
+                raise ValueError(f"unknown event kind {kind!r}")
+    yield from out()
 
 
 def formatted(events: DataFrame) -> DataFrame:
     """Rendered turns (TURNS), each conversation's in order, in one partition."""
-    read = events.select(*[F.col(c).cast(k).alias(c) for c, k in (x.split() for x in EVENTS.split(", "))])
-    reach = F.col("kind").isin("edit", "regenerate") | ((F.col("kind") == "delta") & F.col("message").isNotNull())
+    parts = F.col("parts") if "parts" in events.columns else F.lit(None)
+    read = events.select(*[F.col(c).cast(k).alias(c) for c, k in (x.split() for x in EVENTS.split(", "))], parts.cast(PARTS).alias("parts"))
+    reach = ((F.col("kind") != "message") & F.col("message").isNotNull()) | F.coalesce(F.exists("parts", lambda p: p["message"].isNotNull()), F.lit(False))
     changes = read.where(reach).groupBy(F.col("conv_id").alias("_conv")).agg(F.max("seq").alias("last_change"))
     read = read.join(changes, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
-    read = read.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
+    read = read.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text", "parts")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -182,8 +193,23 @@ def digest(turns: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log in which each opens a message."""
+    """Rows (conv_id, turn, role, text) as the log that would have streamed them: an assistant's message opens empty, its first delta is regenerated, and the text comes in
+    deltas; any other opens with half of its first piece, which an edit completes, and goes on in deltas. All of them act on the open message."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{DELTA}}}"), F.lit(0))
+    first = F.coalesce(F.get(pieces, F.lit(0)), F.lit(""))
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("message"), said.alias("text"))
+
+    def deltas(some: Column) -> Column:
+        return F.transform(some, lambda p: event("delta", p))
+
+    spoken = F.concat(F.array(event("delta", first), event("regenerate", F.lit(""))), deltas(pieces))
+    typed = F.concat(F.array(event("edit", first)), deltas(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))))
+    assistant = F.coalesce(F.col("role").cast("string") == "assistant", F.lit(False))
     return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-        F.col("turn").cast("long").alias("message"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("message"),
+        F.col("role").cast("string").alias("role"), F.when(assistant, "").otherwise(F.substring(first, F.lit(1), F.floor(F.length(first) / 2).cast("int"))).alias("text"),
+        F.when(assistant, spoken).otherwise(typed).cast(PARTS).alias("parts"),
     )
