@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathom.llm import decontam, packing, quality, secrets, simhash
+from fathom.llm import _common, decontam, packing, quality, secrets, simhash
 from fathom.llm._common import table
 
 
@@ -35,6 +37,43 @@ def test_pipeline_runs_each_stage_on_what_the_last_kept(spark, sf_dir, monkeypat
         assert got.tolist() == [*encode(r.text).tolist(), 0]
 
 
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n", "en", "s", 3), (4, "one", "en", "s", 3), (5, "é " * 9_000, "fr", "s", None), (6, "x" * 50_000, "en", "s", None),
+    (7, "a b c d e f g", "en", "s", 13), (7, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", None, "s", 13), (9, "password=hunter2222", "en", "s", 19),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_rows(spark, tmp_path, rows):
+    extra = ["row", "file", "at", "page", "hash", "score", "secrets", "_text", "_metadata"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in extra})
+    spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "packing":
+            assert len({r.doc_id for r in got}) == len({r[0] for r in rows})
+            continue
+        assert out.columns == docs.columns and all(r.row == "clash" for r in got)
+        ids = [r.doc_id for r in got]
+        if name == "near_dedup":
+            assert sorted(ids) == ([1, 4, 5, 6, 7, 9] if rows else [])
+        if name == "decontamination":
+            assert sorted(ids) == ([1, 2, 3, 4, 5, 6, 9] if rows else [])
+        if name == "secrets":
+            assert len(got) == len(rows) and all("hunter" not in (r.text or "") for r in got)
+
+
+def test_pipeline_leaves_only_its_last_table(spark, sf_dir):
+    before = list(_common._SCRATCH)
+    corpus_pipeline.run(spark, sf_dir)
+    left = [p for p in _common._SCRATCH if p not in before]
+    assert len(left) == 1 and "stage-secrets" in left[0]
+
+
 def test_pipeline_query_is_registered():
     from fathom.llm.queries import queries
 
