@@ -1,7 +1,8 @@
 """A training corpus from `documents`: quality, near-duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the last
-return the columns of documents; the last returns the packed pieces. What a stage writes on its way, and its input, go as soon as its result is written.
+return the columns of documents; the last returns the packed pieces. What a stage writes on its way goes as soon as its
+result is written; the stages' results, which show what each of them did, go with the application.
 
 Defined cases, for every stage: other columns of docs are carried as they are, whatever their names; an empty table gives an empty one; repeated rows are judged alike.
 """
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import decontam, packing, quality, secrets, simhash
-from fathom.llm._common import cleared, dropped, table, written
+from fathom.llm._common import cleared, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         kept: list[str] = []
         with cleared(spark, kept):
             docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
             kept.append(path)
-        if before:
-            dropped(spark, before)
-        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
