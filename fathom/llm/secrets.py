@@ -120,11 +120,13 @@ def trigram_query(pattern: str, limit: int = 24) -> list[frozenset[str]] | None:
 
 def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
     """gram (its number), file, page, word, bits: which documents hold each trigram, letter case aside. rows: as placed()."""
-    low = F.lower(F.col("row.text").cast("string"))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
     page, word, bit = page_of()
-    seen = rows.select("file", page.alias("page"), word.alias("word"), bit.alias("bit"), F.explode(held).alias("gram"))
-    return seen.groupBy("gram", "file", "page", "word").agg(F.bit_or("bit").alias("bits"))
+    low = rows.select("file", page.alias("page"), word.alias("word"), bit.alias("bit"), F.lower(F.col("row.text").cast("string")).alias("low"))
+    # an array with nulls, which compiles, and not the trigrams alone: whatever drops them first is interpreted, and folds the letters' case for each anew
+    # (outer: else Spark infers a filter on the array's size and pushes it to the scan, where it does so as well)
+    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)])
+    seen = low.select("file", "page", "word", "bit", held.alias("held")).select("file", "page", "word", "bit", F.explode_outer("held").alias("gram"))
+    return seen.where("gram is not null").groupBy("gram", "file", "page", "word").agg(F.bit_or("bit").alias("bits"))
 
 
 def intersected(index: DataFrame, queries: list[list[frozenset[str]] | None], grams: list[str]) -> DataFrame:
