@@ -29,10 +29,10 @@ from ._common import byte_views, under
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-WINDOW, STEP = 192, 152
+WINDOW, STEP = 256, 216
 TRAINED = 128  # characters of a training window
 SECTION, MARGIN = 60_000, 512
-EMBED, HIDDEN, CHARS = 10, 10, 130  # ASCII, then any other, then padding
+EMBED, HIDDEN, CHARS = 10, 8, 130  # ASCII, then any other, then padding
 TRAIN_TEXTS, PIECE, TRAIN_WINDOWS, HELD_WINDOWS = 600, 2000, 3200, 600
 EPOCHS, BATCH, RATE = 8, 32, 0.02
 WRONG, LEAST_SURE = 0.02, 0.8  # share of added spans that may miss a labelled one on held-out pieces; the bar is never lower
