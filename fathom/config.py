@@ -11,7 +11,7 @@ SKIP_DIRS = (".git", "node_modules", "vendor", "dist", "build", "target", "__pyc
 @dataclass(frozen=True)
 class Config:
     skip_dirs: tuple[str, ...] = SKIP_DIRS
-    alias_prefixes: tuple[str, ...] = ("@/", "~/", "src/")
+    alias_prefixes: tuple[str, ...] = ("@/", "~/")
     extra_extensions: dict[str, str] = field(default_factory=dict)
     max_file_bytes: int = 1_500_000
     chunk_lines: int = 40

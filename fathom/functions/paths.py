@@ -28,7 +28,7 @@ def is_test(path: Column, test_patterns: tuple[str, ...] = (), production_patter
     """Whether a file is test code; the first rule that fits decides."""
     rules = [(p, False) for p in production_patterns]
     rules += [(r"(^|/)src/main/", False), (r"(^|/)src/(test|integrationTest|testFixtures)/", True), (r"(^|/)(test|tests|__tests__|__mocks__)/", True)]
-    rules += [(r"(Test|Tests|IT|ITCase)\.(java|kt|kts|scala)$", True), (r"\.(test|spec)\.[jt]sx?$", True)]
+    rules += [(r"(Test|Tests|IT|ITCase)\.(java|kt|kts)$", True), (r"\.(test|spec)\.(tsx?|mts|jsx?|mjs|cjs)$", True)]
     rules += [(r"(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$", True)] + [(p, True) for p in test_patterns]
     out = F.lit(False)
     for pattern, verdict in reversed(rules):

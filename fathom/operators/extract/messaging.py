@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
+from fathom.operators.extract.reading import Reading, Token
 from fathom.operators.extract.source import Source, unique
 
 HOLE = "{?}"
 #: fixed values: messaging systems that a client's name can hold; any other is Kafka
 SYSTEMS = ("rabbit", "jms", "sqs", "sns", "pulsar")
-_CONSTANT = re.compile(r"""(?:\b(?:static\s+final|final\s+static)\s+String\s+(?P<java>\w+)|\bconst\s+val\s+(?P<kotlin>\w+)(?:\s*:\s*String)?)\s*=\s*"(?P<value>[^"]+)\"""")
 _PLACEHOLDER = re.compile(r"\$\{(?P<key>[^:}]+)(?::(?P<default>[^}]*))?\}")
 _CONFIG = re.compile(r"(?:^|/)(?:application|bootstrap)[^/]*\.(?:yml|yaml|properties)$")
 _DECLARES = re.compile(r"topic|queue|destination|subject", re.I)
 
 
 def constants(src: Source) -> list[tuple[str, str, int]]:
-    """(name, value, order) of string constants."""
-    return [(m.group("java") or m.group("kotlin"), m.group("value"), m.start()) for m in _CONSTANT.finditer(src.text)]
+    """(name, value, order) of string constants: a Java field that is static and final, or a Kotlin const val."""
+    tokens, out = Reading(src).tokens, []
+    for i in range(1, len(tokens) - 2):
+        if tokens[i].text != "=" or tokens[i + 1].kind != "string" or len(tokens[i + 1].value) < 1 or tokens[i + 2].text in "+.":
+            continue
+        words = [t.text for t in tokens[max(0, i - 8) : i]]
+        cut = max((k for k, w in enumerate(words) if w in ";{}"), default=-1) + 1
+        words = words[cut:]
+        if "val" in words[:-1] and words[max(0, words.index("val") - 1)] == "const":
+            out.append((words[words.index("val") + 1], tokens[i + 1].value, tokens[i].at))
+        elif {"static", "final"} <= set(words) and words[-2:-1] == ["String"]:
+            out.append((words[-1], tokens[i + 1].value, tokens[i].at))
+    return out
 
 
 def is_config(path: str) -> bool:
@@ -57,98 +69,134 @@ def system_of(receiver: str) -> str:
     return next((s for s in SYSTEMS if s in receiver.lower()), "kafka")
 
 
-def _placeholder(text: str, settings: dict[str, str]) -> tuple[str, str | None] | None:
-    """(key, its value or default) if the text is a placeholder."""
+@dataclass(frozen=True)
+class Part:
+    """A term of an expression: its text as far as it is known, whether it is, and what it was read from."""
+
+    text: str
+    known: bool
+    via: str | None = None
+
+
+def _literal(text: str, settings: dict[str, str]) -> Part:
+    """A string stands for itself, or for the setting that it names, or for its default."""
     m = _PLACEHOLDER.fullmatch(text)
-    return (m.group("key"), settings.get(m.group("key"), m.group("default"))) if m else None
+    if not m:
+        return Part(text, True)
+    value = settings.get(m.group("key"), m.group("default"))
+    return Part(text if value is None else value, value is not None, m.group("key"))
+
+
+def _term(tokens: list[Token], settings: dict[str, str], names: dict[str, str]) -> Part:
+    """A string, or a name (the last of a dotted one) that stands for a constant; anything else is unknown."""
+    if len(tokens) == 1 and tokens[0].kind == "string":
+        return _literal(tokens[0].value, settings)
+    last = tokens[-1].text if tokens and tokens[-1].kind == "word" else ""
+    if last in names and all(t.kind == "word" or t.text == "." for t in tokens):
+        return Part(names[last], True, last)
+    return Part("".join(t.text for t in tokens)[:80], False)
+
+
+def _apart(tokens: list[Token], mark: str) -> list[list[Token]]:
+    """Tokens between marks that no bracket holds."""
+    out, depth = [[]], 0
+    for t in tokens:
+        depth += (t.text in "([{") - (t.text in ")]}")
+        if t.text == mark and not depth:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [x for x in out if x]
+
+
+def evaluated(tokens: list[Token], settings: dict[str, str], names: dict[str, str]) -> list[tuple[str, bool, str | None]]:
+    """(topic, resolved, via) of the expression that stands for a topic: a tree of lists, sums and terms.
+
+    Lists give their strings, each by itself, or without any string their names; a sum is one text with a hole for each unknown part.
+    """
+    while len(tokens) > 1 and (tokens[0].text, tokens[-1].text) in (("(", ")"), ("{", "}"), ("[", "]")):
+        tokens = tokens[1:-1]
+    open_ = next((i for i, t in enumerate(tokens) if t.text == "("), 0)
+    if open_ and tokens[-1].text == ")" and all(t.kind == "word" or t.text == "." for t in tokens[:open_]):
+        return evaluated(tokens[open_ + 1 : -1], settings, names)  # a list that a call makes
+    items = _apart(tokens, ",")
+    if len(items) > 1:
+        said = [x for x in items if any(t.kind == "string" for t in x)]
+        return [y for x in said or items for y in evaluated(x, settings, names)]
+    terms = _apart(tokens, "+")
+    if len(terms) > 1:
+        parts = [_term(t, settings, names) for t in terms]
+        known = all(p.known for p in parts)
+        return [("".join(p.text if p.known else HOLE for p in parts), known, None if known else "runtime concatenation")]
+    if not tokens:
+        return []
+    part = _term(tokens, settings, names)
+    return [(part.text, part.known, part.via)] if any(t.kind in ("word", "string") for t in tokens) else []
 
 
 def resolve(expression: str, settings: dict[str, str], names: dict[str, str]) -> list[tuple[str, bool, str | None]]:
-    """(topic, resolved, via) of the expression that stands for a topic.
+    return evaluated(Reading(Source("", expression)).tokens, settings, names)
 
-    Sums are joined, with a hole for each unknown part; string literals stand for themselves, placeholders for their setting; a lone name for its constant.
-    """
-    text = expression.strip().strip("()").strip()
-    if "+" in text:
-
-        def part(p: str) -> str | None:
-            if len(p) > 1 and p[0] == p[-1] == '"' and '"' not in p[1:-1] and not _PLACEHOLDER.fullmatch(p[1:-1]):
-                return p[1:-1]
-            name = re.sub(r"[^\w.]", "", p).rsplit(".", 1)[-1]
-            if name in names:
-                return names[name]
-            setting = _placeholder(p.strip('"'), settings)
-            return setting[1] if setting else p[1:-1] if p.startswith('"') and p.endswith('"') and len(p) > 1 else None
-
-        parts = [part(p.strip()) for p in text.split("+") if p.strip()]
-        known = None not in parts
-        return [("".join(HOLE if p is None else p for p in parts), known, None if known else "runtime concatenation")]
-    if literals := re.findall(r'"([^"]+)"', text):
-        out = []
-        for literal in literals:
-            setting = _placeholder(literal, settings)
-            out.append((literal, True, None) if setting is None else (literal if setting[1] is None else setting[1], setting[1] is not None, setting[0]))
-        return out
-    name = re.sub(r"\W", "", text.rsplit(".", 1)[-1])
-    if name in names:
-        return [(names[name], True, name)]
-    return [(text[:80], False, None)] if name else []
-
-
-_VALUE = r"(?:\$\{[^}]*\}|[^,)])+"
-_LIST = r"\{(?:\$\{[^}]*\}|[^{}])*\}|\[(?:\$\{[^}]*\}|[^\[\]])*\]"
-_ANNOTATION = re.compile(r"@(?P<kind>Kafka|Rabbit|Jms)Listener\s*\((?P<body>(?:\"[^\"]*\"|[^()\"]|\([^()]*\))*)\)")
-_ATTRIBUTE = {
-    "Kafka": re.compile(rf"\btopics\s*=\s*(?P<value>{_LIST}|{_VALUE})"),
-    "Rabbit": re.compile(rf"\b(?:queues|destination)\s*=\s*(?P<value>{_LIST}|{_VALUE})"),
-}
-_ATTRIBUTE["Jms"] = _ATTRIBUTE["Rabbit"]
-_SUBSCRIBE = re.compile(r"\b\w*[Cc]onsumer\w*\s*\.\s*subscribe\s*\(\s*(?:[A-Z]\w*\s*\.\s*\w+\s*)?\(?\s*(?P<value>[^;)]+)")
-_SEND = re.compile(r"\b(?P<who>\w*(?:[Tt]emplate|[Pp]roducer)\w*)\s*\.\s*(?:convertAndSend|send)\s*\(\s*(?P<value>[^,)]+)")
-_RECORD = re.compile(r"\bnew\s+ProducerRecord\s*<[^>]*>\s*\(\s*(?P<value>[^,)]+)")
+
+#: annotations that listen, the system they listen to, and their attributes that name topics
+LISTENERS = {"KafkaListener": ("kafka", ("topics",)), "RabbitListener": ("rabbit", ("queues", "destination")), "JmsListener": ("jms", ("queues", "destination"))}
 JVM_GATE = r"Listener|[Cc]onsumer|[Tt]emplate|[Pp]roducer"
 
 
 def jvm_edges(src: Source, settings: dict[str, str], names: dict[str, str]) -> list[dict]:
     """topic, direction, line, resolved, via, system of Java and Kotlin code."""
-    sites = []  # offset, direction, system, expression
-    for m in _ANNOTATION.finditer(src.text):
-        kind, body = m.group("kind"), m.group("body")
-        attribute = _ATTRIBUTE[kind].search(body)
-        if attribute:
-            sites.append((m.start(), "consume", "kafka" if kind == "Kafka" else kind.lower(), attribute.group("value")))
-        elif kind == "Kafka" and re.fullmatch(r'\s*"[^"]+"\s*', body):
-            sites.append((m.start(), "consume", "kafka", body))
-    sites += [(m.start(), "consume", "kafka", m.group("value")) for m in _SUBSCRIBE.finditer(src.text)]
-    sites += [(m.start(), "produce", system_of(m.group("who")), m.group("value")) for m in _SEND.finditer(src.text)]
-    sites += [(m.start(), "produce", "kafka", m.group("value")) for m in _RECORD.finditer(src.text)]
+    read, sites = Reading(src), []  # offset, direction, system, expression
+    for note in read.annotations:
+        if note.name in LISTENERS:
+            system, attributes = LISTENERS[note.name]
+            value = note.named(*attributes)
+            if value is None and system == "kafka" and len(note.arguments) == 1 and note.literal() is not None:
+                value = note.arguments[0]
+            if value:
+                sites.append((note.at, "consume", system, value))
+    for c in read.calls:
+        if not c.arguments:
+            continue
+        on = c.on.lower()
+        if c.name == "subscribe" and "consumer" in on:
+            sites.append((c.at, "consume", "kafka", c.arguments[0]))
+        elif c.name in ("send", "convertAndSend") and ("template" in on or "producer" in on):
+            sites.append((c.at, "produce", system_of(c.on), c.arguments[0]))
+        elif c.name == "ProducerRecord" and read.text(c.first - 1) == "new":
+            sites.append((c.at, "produce", "kafka", c.arguments[0]))
     rows = [
         {"topic": topic, "direction": direction, "line": src.line(at), "resolved": known, "via": via, "system": system}
-        for at, direction, system, expression in sites
-        for topic, known, via in resolve(expression, settings, names)
+        for at, direction, system, value in sites
+        for topic, known, via in evaluated(value, settings, names)
     ]
     return unique(rows, "topic", "direction", "line")
 
 
-_Q = r"""["'`](?P<topic>[^"'`]+)"""
-#: a client library's gate, and for it: system, direction, call, how the topic is known
-_CLIENTS = [
-    (r"amqplib|amqp://", [("rabbit", "produce", rf"\.\s*sendToQueue\s*\(\s*{_Q}", None), ("rabbit", "consume", rf"\.\s*(?:assertQueue|consume)\s*\(\s*{_Q}", None)]),
-    (r"\bimport\s+pika\b|\bpika\.", [("rabbit", "produce", rf"\bbasic_publish\s*\([^)]*?\brouting_key\s*=\s*{_Q}", None), ("rabbit", "consume", rf"\bbasic_consume\s*\([^)]*?\bqueue\s*=\s*{_Q}", None)]),
-    (r"(?i)boto3|sqs", [("sqs", "produce", rf"\bsend_message(?:_batch)?\s*\([^)]*?\bQueueUrl\s*=\s*{_Q}", "QueueUrl"), ("sqs", "consume", rf"\breceive_message\s*\([^)]*?\bQueueUrl\s*=\s*{_Q}", "QueueUrl")]),
-    (r"(?i)\bnats\b", [("nats", "produce", rf"\.\s*publish\s*\(\s*{_Q}", None), ("nats", "consume", rf"\.\s*subscribe\s*\(\s*{_Q}", None)]),
-]
-_CLIENTS = [(re.compile(gate), [(s, d, re.compile(p), via) for s, d, p, via in rules]) for gate, rules in _CLIENTS]
+#: a client library: words that a file which uses it holds, its system, and its calls: name, direction, the argument that names the topic (a place or a name)
+CLIENTS = [
+    (("amqplib", "amqp"), "rabbit", {"sendToQueue": ("produce", 0), "assertQueue": ("consume", 0), "consume": ("consume", 0)}),
+    (("pika",), "rabbit", {"basic_publish": ("produce", "routing_key"), "basic_consume": ("consume", "queue")}),
+    (("boto3", "sqs"), "sqs", {"send_message": ("produce", "QueueUrl"), "send_message_batch": ("produce", "QueueUrl"), "receive_message": ("consume", "QueueUrl")}),
+    (("nats",), "nats", {"publish": ("produce", 0), "subscribe": ("consume", 0)}),
+]
 BROKER_GATE = r"(?i)amqp|pika|boto3|sqs|nats"
 
 
 def broker_edges(src: Source) -> list[dict]:
     """The same of JavaScript, TypeScript and Python clients, where the file names the client's library."""
-    rows = []
-    for gate, rules in _CLIENTS:
-        if gate.search(src.text):
-            for system, direction, rule, via in rules:
-                for m in rule.finditer(src.text):
-                    topic = m.group("topic").rsplit("/", 1)[-1] if via else m.group("topic")
-                    rows.append({"topic": topic, "direction": direction, "line": src.line(m.start()), "resolved": True, "via": via, "system": system})
+    words, rows = {w.lower() for w in re.findall(r"[A-Za-z0-9]+", src.text)}, []
+    read = Reading(src, src.suffix == "py")
+    for libraries, system, known in CLIENTS:
+        if not words & set(libraries):
+            continue
+        for c in read.calls:
+            if c.name not in known:
+                continue
+            direction, place = known[c.name]
+            value = c.named(place) if isinstance(place, str) else c.arguments[0] if c.arguments and (c.on or c.after) else None
+            if not value or value[0].kind != "string" or not value[0].value:
+                continue
+            topic = value[0].value
+            via = place if place == "QueueUrl" else None
+            rows.append({"topic": topic.rsplit("/", 1)[-1] if via else topic, "direction": direction, "line": src.line(c.at), "resolved": True, "via": via, "system": system})
     return unique(rows, "system", "topic", "direction", "line")

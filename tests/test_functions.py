@@ -154,9 +154,11 @@ def test_http():
     endpoints, calls = http.web(src("a.ts", ts))
     assert [(e["method"], e["norm"]) for e in endpoints] == [("GET", "/api/cart")]
     assert {(c["method"], c["norm"]) for c in calls} == {("PUT", "/{}/api/orders/{}"), ("POST", "/api/x/{**}")}
+    assert http.web(src("b.ts", "fetch('data:x'); fetch(''); axios.get('mailto:a@b'); fetch('/ok')"))[1][0]["norm"] == "/ok"
+    assert len(http.web(src("b.ts", "fetch('data:x'); fetch(''); axios.get('mailto:a@b'); fetch('/ok') // fetch('/no')"))[1]) == 1
     nest = http.web(src("n.ts", "@Controller('v2')\nclass C { @Get('items/:id') a() {} @Post() b() {} }"))[0]
     assert {(e["method"], e["norm"]) for e in nest} == {("GET", "/v2/items/{}"), ("POST", "/v2")}
-    endpoints, calls = http.python(src("a.py", "@app.route('/h/<int:x>', methods=['GET', 'POST'])\n@api.get('/f/{y}')\nrequests.get(f'/api/{z}')\nsession.get('ftp://no')"))
+    endpoints, calls = http.python(src("a.py", "@app.route('/h/<int:x>', methods=['GET', 'POST'])\n@api.get('/f/{y}')\nrequests.get(f'/api/{z}')\nsession.get('mailto:a@b')"))
     assert {(e["method"], e["norm"]) for e in endpoints} == {("GET", "/h/{}"), ("POST", "/h/{}"), ("GET", "/f/{}")} and [c["norm"] for c in calls] == ["/api/{}"]
 
 
