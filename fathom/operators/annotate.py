@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 
 KINDS = {"kafka": ("topic", "direction"), "db": ("table", "mode"), "http_endpoint": ("method", "path"), "http_call": ("method", "path")}
 ALLOWED = {"direction": ("produce", "consume"), "mode": ("read", "write", "rw")}
-LEAST_INSIGHT, MOST_INSIGHT = 40, 4000
+LEAST_INSIGHT, MOST_INSIGHT, LEAST_EVIDENCE = 40, 4000, 20
 
 
 def _load(path: str) -> list[dict]:
@@ -46,6 +46,8 @@ def assert_edge(path: str, row: dict, hashes: dict[str, str]) -> list[dict]:
     missing = [n for n in ("file", "line", "evidence", *KINDS[kind]) if not row.get(n)]
     if missing:
         raise ValueError(f"missing: {', '.join(missing)}")
+    if len(str(row["evidence"]).strip()) < LEAST_EVIDENCE:
+        raise ValueError(f"evidence needs at least {LEAST_EVIDENCE} characters")
     for name, values in ALLOWED.items():
         if name in KINDS[kind] and row[name] not in values:
             raise ValueError(f"{name} must be one of {values}")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.config import Config
@@ -147,19 +147,28 @@ def seams(corpus: DataFrame, names: dict[str, str], entities: dict[str, str], se
 PROBES = ["", ".py", ".js", ".ts", ".jsx", ".tsx", ".mjs", "/index.js", "/index.ts", "/index.tsx", "/__init__.py"]
 
 
+def _resolved_path(path: Column, module: Column) -> Column:
+    """Where a relative module lies: its steps are taken one by one from the file's folder; null if they leave the corpus."""
+    folder = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    steps = F.filter(F.split(module, "/"), lambda s: (s != "") & (s != "."))
+
+    def step(at: Column, s: Column) -> Column:
+        up = F.when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1))
+        return F.when(s == "..", up).otherwise(F.concat(at, F.array(s)))
+
+    return F.array_join(F.aggregate(steps, folder, step), "/")
+
+
 def import_edges(imports: DataFrame, files: DataFrame, config: Config = Config()) -> DataFrame:
     """src, dst, kind: imports that name a file of the corpus. Relative ones are tried with each of PROBES; others by the longest path they spell, which the
     first file in path order that ends in it claims."""
-    normal = F.regexp_replace("module", r"\.\./|\./", "")
-    up = F.regexp_count("module", F.lit(r"\.\./"))
-    folder = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1 - up, F.lit(0)))
-    relative = imports.where(F.startswith("module", F.lit("."))).select("path", F.concat_ws("/", folder, F.array(normal)).alias("base"))
+    relative = imports.where(F.startswith("module", F.lit("."))).select("path", _resolved_path(F.col("path"), F.col("module")).alias("base")).where("base is not null")
     tries = relative.select("path", "base", F.posexplode(F.array(*[F.concat(F.col("base"), F.lit(p)) for p in PROBES])).alias("rank", "dst"))
     known = tries.join(files.select(F.col("path").alias("dst")), "dst")
     first = first_claim(known, ["path", "base"], ["rank"]).select("path", "dst")
     plain = F.col("module")
     for prefix in reversed(config.alias_prefixes):
-        plain = F.when(F.startswith("module", F.lit(prefix)), F.substring("module", len(prefix) + 1, 10_000)).otherwise(plain)
+        plain = F.when(F.startswith("module", F.lit(prefix)), F.substring(F.col("module"), F.lit(len(prefix) + 1), F.length("module"))).otherwise(plain)
     tail = F.regexp_replace(F.regexp_replace(plain, r"::|\\", "/"), r"\.", "/")
     named = imports.where(~F.startswith("module", F.lit("."))).select("path", F.array_distinct(F.array(tail, F.regexp_replace(plain, r"::|\\", "/"))).alias("tails"))
     stem = F.regexp_replace("path", r"\.[^./]+$", "")

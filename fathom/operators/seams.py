@@ -6,7 +6,7 @@ Accesses: path, tbl, kind, mode, line, detail, source, is_test. Endpoints and ca
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.paths import routes_match
@@ -27,23 +27,29 @@ def topic_sides(edges: DataFrame) -> DataFrame:
     return out.withColumn("orphan", orphan)
 
 
-def message_sites(edges: DataFrame) -> DataFrame:
-    """topic, producers, consumers, unresolved_expressions, test_usage, warning: each topic's places, as a tool shows them."""
-    asserted = F.when(F.startswith("source", F.lit("asserted:")), F.concat(F.lit("[ASSERTED by "), F.substring_index("source", ":", -1), F.lit("]")))
-    place = site(F.col("path"), F.col("line"), F.when(F.col("via").isNotNull(), F.concat(F.lit("(via "), "via", F.lit(")"))), F.concat(F.lit("["), "system", F.lit("]")), asserted)
+SITES = 50  # places shown of a side
 
-    def places(condition: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("path", "line", place.alias("site"))))), lambda s: s["site"])
 
-    live, side = ~F.col("is_test"), F.col("direction")
-    out = edges.groupBy("topic").agg(
-        places(live & F.col("resolved") & (side == "produce")).alias("producers"), places(live & F.col("resolved") & (side == "consume")).alias("consumers"),
-        places(live & ~F.col("resolved")).alias("unresolved_expressions"), places(F.col("is_test")).alias("test_usage"),
-    )
-    some = [F.size("producers") > 0, F.size("consumers") > 0]
+def message_sites(edges: DataFrame, most: int = SITES) -> DataFrame:
+    """topic, producers, consumers, unresolved_expressions, test_usage, the same with n_ before (how many there are), warning: each topic's places, as a tool shows them.
+
+    The first `most` places of a side are shown, taken before any list is made, so a topic's places never stand in one row; the counts are of all.
+    """
+    asserted = F.when(F.startswith("source", F.lit("asserted:")), F.concat(F.lit("[ASSERTED by "), F.substring_index("source", ":", -1), F.lit("]")))
+    place = site(F.col("path"), F.col("line"), F.when(F.col("via").isNotNull(), F.concat(F.lit("(via "), "via", F.lit(")"))), F.concat(F.lit("["), "system", F.lit("]")), asserted)
+    names = ["producers", "consumers", "unresolved_expressions", "test_usage"]
+    side = F.when(F.col("is_test"), names[3]).when(~F.col("resolved"), names[2]).when(F.col("direction") == "produce", names[0]).when(F.col("direction") == "consume", names[1])
+    told = edges.select("topic", "path", "line", place.alias("site"), side.alias("side"))
+    counts = told.groupBy("topic").agg(*[F.count_if(F.col("side") == n).alias(f"n_{n}") for n in names])
+    first = Window.partitionBy("topic", "side").orderBy("path", "line", "site")
+    shown = told.withColumn("_place", F.row_number().over(first)).where((F.col("_place") <= most) & F.col("side").isNotNull())
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("_place", "site")))), lambda s: s["site"]).alias(n) for n in names]
+    none = F.array().cast("array<string>")
+    out = counts.join(shown.groupBy("topic").agg(*listed), "topic", "left").withColumns({n: F.coalesce(n, none) for n in names})
+    some = [F.col("n_producers") > 0, F.col("n_consumers") > 0]
     warning = F.when(some[0] & ~some[1], "produced but never consumed").when(some[1] & ~some[0], "consumed but never produced")
-    tested = F.when(~some[0] & ~some[1] & (F.size("unresolved_expressions") == 0), "only tests use it")
-    return out.withColumn("warning", F.coalesce(warning, tested))
+    tested = F.when(~some[0] & ~some[1] & (F.col("n_unresolved_expressions") == 0), "only tests use it")
+    return out.withColumn("warning", F.coalesce(warning, tested)).select("topic", *names, *[f"n_{n}" for n in names], "warning")
 
 
 def unused_declarations(declared: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,22 +74,48 @@ def drift_sites(defs: DataFrame, access: DataFrame) -> DataFrame:
     return production(access).join(defs.select("tbl").where("tbl is not null").distinct(), "tbl", "left_anti")
 
 
+def _segments(norm: Column) -> Column:
+    return F.filter(F.split(norm, "/"), lambda s: s != "")
+
+
+def _masked(parts: Column, mask: Column) -> Column:
+    """The segments at places that a mask (as text, a digit a place) leaves, as one text."""
+    return F.array_join(F.transform(parts, lambda s, i: F.when(F.substring(mask, i + 1, F.lit(1)) == "1", "").otherwise(s)), "/")
+
+
+def _mask(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda s: F.when(s == "{}", "1").otherwise("0")), "")
+
+
 def called(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     """Pairs of an endpoint (columns e_*) and a call (c_*) that can reach it.
 
-    Distinct routes are matched, not sites: an equi-join on the method and, unless the call ends openly or starts with an unknown base, the number of segments,
-    with the wildcard test as its residual. The rest are joined on the method alone.
+    Distinct routes are matched, not sites, and by equal keys: a route meets the other side's patterns of parameters (few, whatever the number of routes), and the
+    segments that are literal on both sides are the key. Calls that may start with an unknown base are tried without it as well; those that end openly meet the
+    endpoints' beginnings of their length. The wildcard test stays as the join's last word.
     """
     e = endpoints.select(*[F.col(c).alias(f"e_{c}") for c in endpoints.columns])
     c = calls.select(*[F.col(x).alias(f"c_{x}") for x in calls.columns])
-    left = e.select("e_method", "e_norm").distinct().withColumn("e_n", F.size(F.split("e_norm", "/")))
-    right = c.select("c_method", "c_norm").distinct().withColumn("c_n", F.size(F.split("c_norm", "/")))
-    loose = F.col("c_norm").endswith("{**}") | F.startswith("c_norm", F.lit("/{}/"))
-    fits = routes_match(F.col("e_norm"), F.col("c_norm"))
-    method = left["e_method"] == right["c_method"]
-    tight = left.join(right.where(~loose), method & (left["e_n"] == right["c_n"]) & fits)
-    open_ = left.join(right.where(loose), method & fits)
-    pairs = tight.unionByName(open_).drop("e_n", "c_n")
+    parts = _segments(F.col("c_norm"))
+    open_ = F.coalesce(F.get(parts, F.size(parts) - 1) == "{**}", F.lit(False))
+    right = c.select("c_method", "c_norm").distinct().select("c_method", "c_norm", parts.alias("_all"), open_.alias("open"))
+    fixed = F.when(F.col("open"), F.slice("_all", F.lit(1), F.greatest(F.size("_all") - 1, F.lit(0)))).otherwise(F.col("_all"))
+    based = (F.size("_all") > 1) & (F.get("_all", F.lit(0)) == "{}")
+    bare = F.slice(fixed, F.lit(2), F.greatest(F.size(fixed) - 1, F.lit(0)))
+    right = right.select("c_method", "c_norm", "open", F.explode(F.when(based, F.array(fixed, bare)).otherwise(F.array(fixed))).alias("p"))
+    right = right.withColumns({"n": F.size("p"), "c_mask": _mask(F.col("p"))})
+    left = e.select("e_method", "e_norm").distinct().withColumn("_all", _segments(F.col("e_norm")))
+    wanted = right.select(F.col("c_method").alias("e_method"), "open", "n").distinct()  # lengths that are asked for
+    length = (F.size("_all") == F.col("n")) | (F.col("open") & (F.size("_all") >= F.col("n")))
+    left = left.join(F.broadcast(wanted), "e_method").where(length).select("e_method", "e_norm", "open", "n", F.slice("_all", F.lit(1), F.col("n")).alias("p"))
+    left = left.withColumn("e_mask", _mask(F.col("p")))
+    same = ["open", "n"]
+    e_masks, c_masks = left.select(F.col("e_method").alias("c_method"), *same, "e_mask").distinct(), right.select(F.col("c_method").alias("e_method"), *same, "c_mask").distinct()
+    both = F.array_join(F.zip_with(F.split("e_mask", ""), F.split("c_mask", ""), lambda a, b: F.when((a == "1") | (b == "1"), "1").otherwise("0")), "")
+    left = left.join(c_masks, ["e_method", *same]).select("e_method", "e_norm", *same, "e_mask", "c_mask", _masked(F.col("p"), both).alias("key"))
+    right = right.join(e_masks, ["c_method", *same]).select("c_method", "c_norm", *same, "e_mask", "c_mask", _masked(F.col("p"), both).alias("key"))
+    pairs = left.withColumn("c_method", F.col("e_method")).join(right, ["c_method", *same, "e_mask", "c_mask", "key"])
+    pairs = pairs.where(routes_match(F.col("e_norm"), F.col("c_norm"))).select("e_method", "e_norm", "c_method", "c_norm").distinct()
     return pairs.join(e, ["e_method", "e_norm"]).join(c, ["c_method", "c_norm"])
 
 

@@ -25,16 +25,27 @@ def _trigrams() -> Column:
     return F.greatest(F.length("path") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
 
 
-def ranked(found: DataFrame, phrase: str) -> DataFrame:
-    """found with f (occurrences of the phrase in path and content) and rank (BM25, the more negative the better); chunks without it are gone.
+def scored(found: DataFrame, phrases: list[str]) -> DataFrame:
+    """found with f (occurrences of each phrase in path and content) and ranks (BM25 of each, 0 where it has none, else the more negative the better).
 
-    Statistics (rows, mean length, rows with the phrase) are one aggregate over all chunks, joined as a single row.
+    However many phrases, chunks are counted in one pass and their statistics (rows, mean length, rows with each phrase) are one aggregate, joined as a single row.
     """
-    counted = found.withColumns({"f": occurrences(F.col("path"), phrase) + occurrences(F.col("content"), phrase), "_d": _trigrams()})
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_d").alias("_avg"), F.count_if(F.col("f") > 0).alias("_hits"))
-    idf = F.greatest(F.ln((F.col("_n") - F.col("_hits") + 0.5) / (F.col("_hits") + 0.5)), F.lit(1e-6))
-    rank = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
-    return counted.where("f > 0").join(F.broadcast(stats)).withColumn("rank", rank).drop("_d", "_n", "_avg", "_hits")
+    each = F.array(*[occurrences(F.col("path"), p) + occurrences(F.col("content"), p) for p in phrases])
+    counted = found.withColumns({"f": each, "_d": _trigrams()})
+    hits = F.array(*[F.count_if(F.get("f", F.lit(i)) > 0) for i in range(len(phrases))])
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_d").alias("_avg"), hits.alias("_hits"))
+
+    def rank(f: Column, h: Column) -> Column:
+        idf = F.greatest(F.ln((F.col("_n") - h + 0.5) / (h + 0.5)), F.lit(1e-6))
+        return F.when(f > 0, -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))).otherwise(F.lit(0.0))
+
+    some = counted.where(F.exists("f", lambda x: x > 0)).join(F.broadcast(stats))
+    return some.withColumn("ranks", F.zip_with("f", "_hits", rank)).drop("_d", "_n", "_avg", "_hits")
+
+
+def ranked(found: DataFrame, phrase: str) -> DataFrame:
+    """found with f (occurrences of the phrase in path and content) and rank (BM25, the more negative the better); chunks without it are gone."""
+    return scored(found, [phrase]).withColumns({"f": F.get("f", F.lit(0)), "rank": F.get("ranks", F.lit(0))}).drop("ranks")
 
 
 def search(found: DataFrame, phrase: str, limit: int = 8) -> DataFrame:
@@ -55,9 +66,5 @@ def search_any(found: DataFrame, phrases: list[str], limit: int = 40) -> DataFra
     known = [p for p in dict.fromkeys(phrases) if len(p) >= 3]
     if not known:
         return found.limit(0).select("path", "start_line", F.lit(0.0).alias("rank"))
-    parts = [ranked(found, p).select("path", "start_line", "rank") for p in known]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    total = out.groupBy("path", "start_line").agg(F.sum("rank").alias("rank"))
-    return total.orderBy("rank", "path", "start_line").limit(limit)
+    total = scored(found, known).select("path", "start_line", F.aggregate("ranks", F.lit(0.0), lambda a, r: a + r).alias("rank"))
+    return total.groupBy("path", "start_line").agg(F.sum("rank").alias("rank")).orderBy("rank", "path", "start_line").limit(limit)

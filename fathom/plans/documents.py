@@ -81,9 +81,7 @@ def plan_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     found = search.chunks(document_corpus(spark, sf_dir))
-    parts = [search.ranked(found, t).select("path", "start_line", "rank") for t in ("onand", "ention", "thati")]
-    total = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("path", "start_line").agg(F.round(F.sum("rank"), 9).alias("rank"))
-    best = total.orderBy("rank", "path", "start_line").limit(40)
+    best = search.search_any(found, ["onand", "ention", "thati"], 40).withColumn("rank", F.round("rank", 9))
     points = best.select("path", (F.lit(41) - F.row_number().over(Window.orderBy("rank", "path", "start_line"))).alias("points"))
     return points.groupBy("path").agg(F.sum("points").cast("long").alias("points"))
 

@@ -9,6 +9,7 @@ from fathom.operators import graph
 from fathom.operators import memory as m
 from fathom.plans.documents import PATH_SQL, document_corpus
 from fathom.plans.registry import plan
+from fathom.scratch import shared_dir
 from fathom.sources import corpus
 from fathom.streaming import refresh
 
@@ -122,16 +123,10 @@ def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, taken in micro-batches that each replace the facts of the event types they touch."""
-    import tempfile
     import uuid
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="fathom-")
-    base = f"{root}/fathom/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/fathom/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -56,7 +56,7 @@ def orphan_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def message_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = seams.message_sites(messages(spark, sf_dir))
-    counts = [F.size(c).cast("long").alias(c) for c in ("producers", "consumers", "test_usage")]
+    counts = [F.col(f"n_{c}").alias(c) for c in ("producers", "consumers", "test_usage")]
     return found.select("topic", *counts, F.coalesce("warning", F.lit("")).alias("warning"))
 
 

@@ -15,13 +15,14 @@ ASSERTION = (
     "`table` string, mode string, method string, path string, gap string, key string, reason string"
 )
 INDEX = "metadata struct<project_root:string>, documents array<struct<relative_path:string, occurrences:array<struct<symbol:string, symbol_roles:int, range:array<int>>>, symbols:array<struct<symbol:string, documentation:array<string>>>>>"
-_RECORD = r"(?i)(^|/)adr/[^/]+\.md$|(^|/)adr-[^/]*\.md$"
+_RECORD = r"(?i)(^|/)adr/.*\.md$|(^|/)adr-[^/]*\.md$"
+_ID = r"(?i)\badr-?[a-z0-9]+(?:\.[a-z0-9]+)*"  # numbers, letters, or both, with dots
 
 
 def decision_of(path: str, text: str) -> dict | None:
     """A decision record's fields; None if neither its name nor its title holds an id."""
     title = re.search(r"^#\s+(.*)$", text, re.M)
-    named = re.search(r"(?i)adr-?\d+", path.rsplit("/", 1)[-1]) or re.search(r"(?i)adr-?\d+", title.group(1) if title else "")
+    named = re.search(_ID, path.rsplit("/", 1)[-1].removesuffix(".md")) or re.search(_ID, title.group(1) if title else "")
     if not named:
         return None
 
@@ -31,8 +32,8 @@ def decision_of(path: str, text: str) -> dict | None:
 
     section = re.search(r"(?ims)^##\s*decision\s*$(.*?)(?=^##\s|\Z)", text)
     summary = section.group(1).strip() if section else "\n".join(text.splitlines()[1:5]).strip()
-    older = field("supersedes", r"\[?(adr-?\d+)")
-    heading = re.sub(r"(?i)^adr-?\d+\s*[:.\-–—]*\s*", "", title.group(1)).strip() if title else named.group().upper()
+    older = field("supersedes", r"\[?(adr-?[a-z0-9]+(?:\.[a-z0-9]+)*)")
+    heading = re.sub(r"(?i)^adr-?[a-z0-9]+(?:\.[a-z0-9]+)*\s*[:.,\-–—]*\s*", "", title.group(1)).strip() if title else named.group().upper()
     return {
         "id": named.group().upper(), "title": heading, "status": (field("status", r"\**\s*(\w+)") or "accepted").lower(), "decided_at": field("date", r"(\d{4}-\d{2}-\d{2})"),
         "supersedes": older.upper() if older else None, "summary": summary[:400], "path": path,

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.engine import Engine, budgeted
-from fathom.operators import annotate, graph, memory, plugins, publish, seams
+from fathom.functions import paths
+from fathom.operators import annotate, graph, memory, plugins, publish, seams, search
+from fathom.operators.extract import run
 from fathom.sources import corpus, sidecars
 from fathom.streaming import refresh
 
@@ -115,6 +117,47 @@ def test_decisions(engine):
     assert engine.decisions(target="payments").count() == 1 and engine.decisions(status="accepted").count() == 1
 
 
+def test_relative_imports_are_resolved_step_by_step(spark):
+    files = corpus.files(spark.createDataFrame([(p, "x") for p in ("a/b/m.ts", "a/c/n.ts", "a/src/foo.ts", "z/foo.ts", "src/a/foo.ts")], "path string, text string"))
+    named = [("a/b/m.ts", "./x/../../c/n"), ("a/b/m.ts", "../../../../c/n"), ("a/b/m.ts", ".././c/n.ts"), ("a/c/n.ts", "src/a/foo"), ("a/c/n.ts", "@/src/foo")]
+    edges = run.import_edges(spark.createDataFrame(named, "path string, module string"), files)
+    assert rows(edges, "src", "dst") == {("a/b/m.ts", "a/c/n.ts"), ("a/c/n.ts", "src/a/foo.ts"), ("a/c/n.ts", "a/src/foo.ts")}
+
+
+def test_decision_ids(spark):
+    named = {"docs/adr/deep/er/ADR-007-x.md": "ADR-007", "ADR-A.2_note.md": "ADR-A.2", "docs/adr/n.md": "ADR-PAY.1"}
+    got = sidecars.decisions(spark.createDataFrame([(p, f"# {i}: T\n\nSupersedes: ADR-B1\n") for p, i in named.items()], "path string, text string"))
+    assert rows(got, "path", "id", "title", "supersedes") == {(p, i, "T", "ADR-B1") for p, i in named.items()}
+
+
+def test_routes_join_equals_the_wildcard_test_on_all_pairs(spark):
+    import itertools
+
+    words = ["a", "b", "{}"]
+    ends = ["/" + "/".join(x) for n in range(4) for x in itertools.product(words, repeat=n)]
+    called = [*ends, *["/" + "/".join([*x, "{**}"]) for n in range(3) for x in itertools.product(words, repeat=n)]]
+    e = spark.createDataFrame([(m, x, i) for m in ("GET", "PUT") for i, x in enumerate(ends)], "method string, norm string, k int")
+    c = spark.createDataFrame([("GET", x, i) for i, x in enumerate(called)], "method string, norm string, k int")
+    want = e.join(c.toDF("m2", "n2", "k2"), (F.col("method") == F.col("m2")) & paths.routes_match(F.col("norm"), F.col("n2"))).select("k", "k2")
+    got = seams.called(e, c).select(F.col("e_k").alias("k"), F.col("c_k").alias("k2"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 500
+
+
+def test_blast_radius_plan_grows_with_depth_and_search_not_with_terms(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(9)], "src string, dst string")
+    root = spark.createDataFrame([("n0",)], "path string")
+    assert graph.blast_radius(edges, root, 5).count() == 5 and plan(graph.blast_radius(edges, root, 5)) == 0
+    chunks = spark.createDataFrame([("a", 1, "one two three")], "path string, start_line int, content string")
+    assert plan(search.search_any(chunks, ["one"])) == plan(search.search_any(chunks, ["one", "two", "three"])) == 1
+
+
+def test_sites_shown_are_bounded(spark):
+    edges = spark.createDataFrame([("t", f"p{i:04}", i, "produce", True, None, "kafka", "static", False) for i in range(300)], "topic string, path string, line int, direction string, resolved boolean, via string, system string, source string, is_test boolean")
+    [r] = seams.message_sites(edges, 5).collect()
+    assert r.n_producers == 300 and r.producers == [f"p{i:04}:{i} [kafka]" for i in range(5)] and r.warning == "produced but never consumed"
+
+
 def test_trace_ends_in_a_cycle(spark):
     loop = spark.createDataFrame([("A", "B"), ("B", "A")], "id string, supersedes string")
     assert memory.trace(loop, "A").count() == 2
@@ -167,10 +210,10 @@ def test_publishing(engine):
 def test_write_back(spark, engine, tmp_path):
     path = str(tmp_path / "docs" / "assertions.json")
     hashes = {r.path: r.hash for r in engine.tables["files"].collect()}
-    row = {"kind": "kafka", "file": "web-app/src/util.ts", "line": 1, "evidence": "seen", "topic": "orders.created", "direction": "consume", "author": "ann"}
+    row = {"kind": "kafka", "file": "web-app/src/util.ts", "line": 1, "evidence": "seen in the running service", "topic": "orders.created", "direction": "consume", "author": "ann"}
     annotate.assert_edge(path, row, hashes)
-    assert len(annotate.assert_edge(path, row | {"evidence": "again"}, hashes)) == 1
-    for bad in ({"kind": "x"}, {"direction": "sideways"}, {"file": "gone"}, {"evidence": ""}):
+    assert len(annotate.assert_edge(path, row | {"evidence": "seen again in the service"}, hashes)) == 1
+    for bad in ({"kind": "x"}, {"direction": "sideways"}, {"file": "gone"}, {"evidence": ""}, {"evidence": "seen"}):
         with pytest.raises(ValueError):
             annotate.assert_edge(path, row | bad, hashes)
     annotate.dismiss(path, "gap", "key", "fine", "ann")

@@ -37,8 +37,8 @@ def test_routes_match(spark, endpoint, call, fits):
 
 
 def test_test_paths_and_languages(spark):
-    given_ = ["a/src/main/java/FooTest.java", "a/src/test/java/X.java", "a/tests/x.py", "x/FooIT.java", "x/a.spec.ts", "x/test_a.py", "x/contest.py", "x/conftest.py", "x/Foo.java"]
-    assert column(spark, given_, paths.is_test) == [False, True, True, True, True, True, False, True, False]
+    given_ = ["a/src/main/java/FooTest.java", "a/src/test/java/X.java", "a/tests/x.py", "x/FooIT.java", "x/a.spec.ts", "x/test_a.py", "x/contest.py", "x/conftest.py", "x/Foo.java", "x/a.test.mts", "x/a.spec.cjs", "x/a.test.mjs", "x/FooTest.scala"]
+    assert column(spark, given_, paths.is_test) == [False, True, True, True, True, True, False, True, False, True, True, True, False]
     assert column(spark, ["a/B.PY", "b.kt", "c", "d.prisma", "e.zig"], paths.language) == ["python", "kotlin", "other", "config", "other"]
 
 
