@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ LINKED = "id string, kind string, target string"
 class Engine:
     """tables: files, symbols, calls, imports, edges, chunks, test_cases, the seams, decisions, decision_links, assertions, insights, references.
 
-    Everything is lazy until `stored` writes the tables; queries are the same before and after.
+    Everything is lazy until `stored` writes the tables; queries are the same before and after. `failures` tells which extractor failed on which file.
     """
 
     corpus: DataFrame
@@ -39,6 +39,9 @@ class Engine:
     tools: dict[str, Callable[..., object]] = field(default_factory=dict)
     reports: dict[str, Callable[[Engine], str]] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    facts: DataFrame | None = None  # extracted rows of all tables
+    shared: DataFrame | None = None  # constants, entities and settings by file
+    extracted: DataFrame | None = None  # path of the files that the last refresh read
 
     def __post_init__(self) -> None:
         if not self.tables:
@@ -46,23 +49,35 @@ class Engine:
 
     # ---- building
 
+    def _marked(self, files: DataFrame) -> DataFrame:
+        return self.corpus.join(files.select("path", "is_test", "lang"), "path")
+
     def _built(self) -> dict[str, DataFrame]:
-        spark = self.corpus.sparkSession
         files = corpora.files(self.corpus, self.config)
-        marked = self.corpus.join(files.select("path", "is_test", "lang"), "path")
-        t = {"files": files} | run.structure(marked)
-        constants, entities, settings = run.shared_maps(marked, self.config)
-        t |= run.seams(marked, constants, entities, settings)
+        if self.facts is None:
+            marked = corpora.with_tests(self.corpus, self.config)
+            self.shared = run.shared_rows(marked)
+            self.facts = run.facts(marked, *run.maps_of(self.shared, self.config))
+        return self._derived(files)
+
+    def _derived(self, files: DataFrame) -> dict[str, DataFrame]:
+        """All tables, from files and facts."""
+        spark = self.corpus.sparkSession
+        t = {"files": files} | {n: run.table_of(self.facts, n) for n in (*run.SCHEMAS, "failures")}
         for extra in self.extractors:  # plug-in rows join the native tables, columns checked by name
-            for name, rows in extra(marked).items():
+            for name, rows in extra(self._marked(files)).items():
                 t[name] = t[name].unionByName(rows, allowMissingColumns=True) if name in t else rows
+        if self.assertions is not None:
+            for name, rows in memory.asserted_edges(self.assertions, files).items():
+                t[name] = t[name].unionByName(rows, allowMissingColumns=True)
         t["assertions"] = self.assertions if self.assertions is not None else spark.createDataFrame([], sidecars.ASSERTION)
-        for name, rows in memory.asserted_edges(t["assertions"], files).items():
-            t[name] = t[name].unionByName(rows, allowMissingColumns=True)
         t["edges"] = run.import_edges(t["imports"], files, self.config)
-        none = spark.createDataFrame([], "symbol string, path string, line int, docs string")
-        t["definitions"], t["references"] = self.index or (none, none.drop("docs"))
-        t["edges"] = t["edges"].unionByName(sidecars.reference_edges(t["definitions"], t["references"])).distinct()
+        if self.index:
+            t["definitions"], t["references"] = self.index
+            t["edges"] = t["edges"].unionByName(sidecars.reference_edges(*self.index)).distinct()
+        else:
+            none = spark.createDataFrame([], "symbol string, path string, line int, docs string")
+            t["definitions"], t["references"] = none, none.drop("docs")
         t["chunks"] = search.chunks(self.corpus, self.config.chunk_lines)
         t["decisions"] = memory.superseded(sidecars.decisions(self.corpus))
         targets = [
@@ -76,19 +91,23 @@ class Engine:
         return t
 
     def stored(self, folder: str) -> Engine:
-        """The same engine over its tables written as Parquet, several at a time: on small corpora jobs are short and their starts would add up."""
+        """The same engine over tables written as Parquet: facts first, in one pass over the texts, then what derives from them, several tables at a time (on small
+        corpora jobs are short and their starts would add up)."""
+        spark = self.corpus.sparkSession
 
-        def write(name: str) -> None:
-            self.tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
         with ThreadPoolExecutor(8) as pool:
-            list(pool.map(write, self.tables))
-        return self.opened(folder, list(self.tables))
-
-    def opened(self, folder: str, names: list[str]) -> Engine:
-        spark = self.corpus.sparkSession
-        tables = {n: spark.read.schema(self.tables[n].schema).parquet(f"{folder}/{n}") for n in names}
-        return Engine(self.corpus, self.config, self.assertions, self.index, self.insights, tools=self.tools, reports=self.reports, tables=tables)
+            first = [pool.submit(written, df, name) for df, name in ((self.facts, "facts"), (self.shared, "shared"), (self.tables["files"], "files"))]
+            facts, shared, files = [f.result() for f in first]
+            out = replace(self, facts=facts, shared=shared, tables={"files": files})
+            out.tables = out._derived(files)
+            plain = {n for n in (*run.SCHEMAS, "failures") if not self.extractors and self.assertions is None} | {"files"}
+            rest = {n: pool.submit(written, df, n) for n, df in out.tables.items() if n not in plain}
+            out.tables = out.tables | {n: f.result() for n, f in rest.items()}
+        return out
 
     def register(self, name: str, tool: Callable[..., object]) -> None:
         self.tools[name] = tool
@@ -99,7 +118,7 @@ class Engine:
     # ---- structure
 
     def index_status(self) -> dict[str, int]:
-        return {n: self._t(n).count() for n in ("files", "symbols", "edges")}
+        return {n: self._t(n).count() for n in ("files", "symbols", "edges")} | {"failed_files": self._t("failures").select("path").distinct().count()}
 
     def search_code(self, query: str, limit: int = 8) -> DataFrame:
         """path, start_line, snippet, in_symbol: the best chunks, with the symbol each begins in."""
@@ -292,11 +311,29 @@ class Engine:
     # ---- refresh
 
     def refreshed(self, corpus: DataFrame) -> Engine:
-        """An engine over a later snapshot. Facts are recomputed from the snapshot, so nothing stays behind that a rebuild would not give."""
-        from fathom.streaming.refresh import guarded
-
-        guarded(self._t("files").count(), corpus.limit(1).count())
-        return Engine(corpus, self.config, self.assertions, self.index, self.insights, self.extractors, self.passes, self.tools, self.reports)
+        """An engine over a later snapshot, equal to a rebuild: only files that changed, and files that name a constant, entity or setting that did, are extracted again.
+
+        Where so many changed that a build is cheaper, everything is.
+        """
+        from fathom.streaming import refresh
+
+        t, listed = self._t("files"), corpora.files(corpus, self.config)
+        refresh.guarded(t.count(), corpus.limit(1).count())
+        diff = refresh.snapshot_diff(t, listed).persist()
+        again = replace(self, corpus=corpus, tables={"files": listed}, facts=None, shared=None, extracted=corpus.select("path"))
+        if refresh.is_wide(diff.count(), t.count()):
+            again.tables = again._built()
+            return again
+        marked = corpora.with_tests(corpus, self.config)
+        touched = diff.where("change <> 'removed'").select("path")
+        again.shared = refresh.overwritten(self.shared, run.shared_rows(marked.join(F.broadcast(touched), "path", "left_semi")), diff).persist()
+        old, new = run.maps_of(self.shared, self.config), run.maps_of(again.shared, self.config)
+        keys = sorted({k for a, b in zip(old, new) for k in a.keys() | b.keys() if a.get(k) != b.get(k)})
+        again.extracted = touched.union(refresh.widened(corpus, keys)).distinct().persist() if keys else touched
+        gone = diff.select("path").union(again.extracted).distinct()
+        again.facts = refresh.overwritten(self.facts, run.facts(marked.join(F.broadcast(again.extracted), "path", "left_semi"), *new), gone)
+        again.tables = again._derived(listed)
+        return again
 
 
 def graph_limit(df: DataFrame, limit: int) -> DataFrame:

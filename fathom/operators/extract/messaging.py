@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from fathom.operators.extract.reading import Reading, Token
+from fathom.operators.extract.reading import Token
 from fathom.operators.extract.source import Source, unique
 
 HOLE = "{?}"
@@ -18,7 +18,7 @@ _DECLARES = re.compile(r"topic|queue|destination|subject", re.I)
 
 def constants(src: Source) -> list[tuple[str, str, int]]:
     """(name, value, order) of string constants: a Java field that is static and final, or a Kotlin const val."""
-    tokens, out = Reading(src).tokens, []
+    tokens, out = src.read().tokens, []
     for i in range(1, len(tokens) - 2):
         if tokens[i].text != "=" or tokens[i + 1].kind != "string" or len(tokens[i + 1].value) < 1 or tokens[i + 2].text in "+.":
             continue
@@ -135,7 +135,7 @@ def evaluated(tokens: list[Token], settings: dict[str, str], names: dict[str, st
 
 
 def resolve(expression: str, settings: dict[str, str], names: dict[str, str]) -> list[tuple[str, bool, str | None]]:
-    return evaluated(Reading(Source("", expression)).tokens, settings, names)
+    return evaluated(Source("", expression).read().tokens, settings, names)
 
 
 #: annotations that listen, the system they listen to, and their attributes that name topics
@@ -145,7 +145,7 @@ JVM_GATE = r"Listener|[Cc]onsumer|[Tt]emplate|[Pp]roducer"
 
 def jvm_edges(src: Source, settings: dict[str, str], names: dict[str, str]) -> list[dict]:
     """topic, direction, line, resolved, via, system of Java and Kotlin code."""
-    read, sites = Reading(src), []  # offset, direction, system, expression
+    read, sites = src.read(), []  # offset, direction, system, expression
     for note in read.annotations:
         if note.name in LISTENERS:
             system, attributes = LISTENERS[note.name]
@@ -185,7 +185,7 @@ BROKER_GATE = r"(?i)amqp|pika|boto3|sqs|nats"
 def broker_edges(src: Source) -> list[dict]:
     """The same of JavaScript, TypeScript and Python clients, where the file names the client's library."""
     words, rows = {w.lower() for w in re.findall(r"[A-Za-z0-9]+", src.text)}, []
-    read = Reading(src, src.suffix == "py")
+    read = src.read(src.suffix == "py")
     for libraries, system, known in CLIENTS:
         if not words & set(libraries):
             continue

@@ -1,11 +1,13 @@
 """Extraction over a corpus: which extractor sees which file, and the tables that come out.
 
-Two phases. Phase 1 reads the maps that cross files: constants, entity tables and settings. Phase 2 extracts with those maps broadcast, which are bounded
-by MAX_MAP entries; beyond that, extraction fails with the count rather than exhausting executors. Gates (cheap patterns) drop files before Python sees them.
+Two passes, each one map over the texts. The first reads the maps that cross files: constants, entity tables and settings. The second runs every extractor on a file
+that has been read into tokens once, and emits rows of all tables under their names (`tag`). The maps are broadcast, bounded by MAX_MAP entries; beyond that, extraction
+fails with the count rather than exhausting executors. An extractor that fails on a file gives no rows of its table, and a row of `failures` that says so.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,48 +36,113 @@ JVM, WEB = ("java", "kt", "kts"), ("ts", "tsx", "js", "jsx", "mjs")
 MAX_MAP = 200_000
 
 
-def table_function(corpus: DataFrame, rows: Callable[[Source], list[dict]], schema: str, gate: str | None = None, suffixes: tuple[str, ...] = (), keep_failures: bool = False) -> DataFrame:
-    """path, is_test and the rows of a function of one file. corpus: path, text, is_test. A file on which the function fails gives no rows."""
+FAILURES = "tag string, message string"
+SHARED = "tag string, path string, key string, value string, at int"
+_COLUMNS = list(dict.fromkeys(c for schema in (*SCHEMAS.values(), "message string") for c in schema.split(", ")))
+FACTS = "tag string, path string, is_test boolean, " + ", ".join(_COLUMNS)
+
+
+def _mapped(corpus: DataFrame, rows: Callable[[Source], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows (in the order of the schema) of a function of one file. corpus: path, text, is_test."""
     names = [c.split()[0] for c in schema.split(", ")]
-    read = corpus.select("path", "text", "is_test").where("text is not null")
-    if suffixes:
-        read = read.where(paths.extension(F.col("path")).isin(*suffixes))
-    if gate:
-        read = read.where(F.rlike("text", F.lit(gate)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, text, is_test in batch.itertuples(index=False):
-                try:
-                    out += [(path, is_test, *(r.get(n) for n in names)) for r in rows(Source(path, text, bool(is_test)))]
-                except Exception:
-                    if keep_failures:
-                        raise
-            yield pd.DataFrame(out, columns=["path", "is_test", *names], dtype=object)
+            out = [r for path, text, is_test in batch.itertuples(index=False) for r in rows(Source(path, text, bool(is_test)))]
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return read.mapInPandas(run, f"path string, is_test boolean, {schema}")
+    return corpus.select("path", "text", "is_test").where("text is not null").mapInPandas(run, schema)
+
+
+def table_function(corpus: DataFrame, rows: Callable[[Source], list[dict]], schema: str, gate: str | None = None, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """path, is_test and the rows of a function of one file, for plug-ins: one that fails stops the job."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    read = corpus
+    if suffixes:
+        read = read.where(paths.extension(F.col("path")).isin(*suffixes))
+    if gate:
+        read = read.where(F.rlike("text", F.lit(gate)))
+    return _mapped(read, lambda s: ((s.path, s.is_test, *(r.get(n) for n in names)) for r in rows(s)), f"path string, is_test boolean, {schema}")
 
 
 def _language(src: Source) -> str:
     return paths.LANGUAGES.get(src.suffix, "other")
 
 
-def symbol_rows(src: Source) -> list[dict]:
-    found, _ = symbols.extract(src, _language(src))
-    if src.suffix in JVM:
+def _structure(src: Source) -> dict[str, list[dict]]:
+    """symbols, calls, imports and test_cases of a file, which is parsed once."""
+    lang = _language(src)
+    found, calls = symbols.extract(src, lang)
+    if src.suffix in JVM and "@" in src.text:
         found = found + symbols.lombok(src)
-    return [s | {"seq": i} for i, s in enumerate(found)]
+    return {
+        "symbols": [s | {"seq": i} for i, s in enumerate(found)], "calls": calls, "imports": [{"module": m} for m in symbols.imports(src, lang)],
+        "test_cases": symbols.test_cases(src, lang) if src.is_test else [],
+    }
+
+
+def _extractors(names: dict[str, str], entities: dict[str, str], settings: dict[str, str]) -> list[tuple[set[str], Callable[[Source], bool], Callable[[Source], dict[str, list[dict]]]]]:
+    """Tables, which files may hold rows of them, and the rows by table."""
+
+    def static(rows: list[dict]) -> list[dict]:
+        return [r | {"source": "static"} for r in rows]
+
+    def known(src: Source) -> dict[str, str]:
+        return names | {k: v for k, v, _ in reversed(messaging.constants(src))} if src.is_test else names
+
+    def gated(gate: str, *suffixes: str) -> Callable[[Source], bool]:
+        rule = re.compile(gate)
+        return lambda s: s.suffix in suffixes and rule.search(s.text) is not None
+
+    def http_rows(src: Source) -> dict[str, list[dict]]:
+        ends, calls = (http.jvm if src.suffix in JVM else http.web if src.suffix in WEB else http.python)(src)
+        return {"http_endpoints": static(ends), "http_calls": static(calls)}
+
+    changed = ("xml", "yml", "yaml", "sql", "prisma", "rb", "py")
+    return [
+        ({"symbols", "calls", "imports", "test_cases"}, lambda s: True, _structure),
+        ({"msg_edges"}, gated(messaging.JVM_GATE, *JVM), lambda s: {"msg_edges": static(messaging.jvm_edges(s, settings, known(s)))}),
+        ({"msg_edges"}, gated(messaging.BROKER_GATE, *WEB, "py"), lambda s: {"msg_edges": static(messaging.broker_edges(s))}),
+        ({"msg_topics"}, lambda s: messaging.is_config(s.path), lambda s: {"msg_topics": messaging.declared(s, messaging.config(s))}),
+        ({"db_defs"}, lambda s: s.suffix in changed, lambda s: {"db_defs": data.changelog(s) if data.is_changelog(s) else data.schema_definitions(s)}),
+        ({"db_access"}, gated(data.JVM_GATE, *JVM), lambda s: {"db_access": static(data.jvm_access(s, entities, known(s)))}),
+        ({"db_access"}, gated(data.GENERIC_GATE, *WEB, "py", "rb"), lambda s: {"db_access": static(data.generic_access(s))}),
+        ({"http_endpoints", "http_calls"}, gated(http.GATE, *JVM, *WEB, "py"), http_rows),
+    ]
+
+
+def facts(corpus: DataFrame, names: dict[str, str], entities: dict[str, str], settings: dict[str, str], only: set[str] | None = None) -> DataFrame:
+    """FACTS: the rows of all tables (or of those in `only`) in one pass over the texts."""
+    shared = corpus.sparkSession.sparkContext.broadcast((names, entities, settings))  # bounded by MAX_MAP each
+    columns = [c.split()[0] for c in _COLUMNS]
+
+    def rows(src: Source) -> Iterator[tuple]:
+        for tables, asked, extract in _extractors(*shared.value):
+            if only is not None and not tables & only:
+                continue
+            try:
+                found = extract(src) if asked(src) else {}
+            except Exception as e:
+                yield ("failures", src.path, src.is_test, *(f"{'/'.join(sorted(tables))}: {type(e).__name__}: {e}"[:500] if c == "message" else None for c in columns))
+                continue
+            for tag, each in found.items():
+                for r in each:
+                    yield (tag, src.path, src.is_test, *(r.get(c) for c in columns))
+
+    return _mapped(corpus, rows, FACTS)
+
+
+def table_of(found: DataFrame, name: str) -> DataFrame:
+    """One table of facts."""
+    schema = SCHEMAS.get(name, "message string")
+    return found.where(F.col("tag") == name).select("path", "is_test", *[c.split()[0] for c in schema.split(", ")])
 
 
 def structure(corpus: DataFrame) -> dict[str, DataFrame]:
     """symbols, calls, imports, test_cases."""
-    return {
-        "symbols": table_function(corpus, symbol_rows, SCHEMAS["symbols"]),
-        "calls": table_function(corpus, lambda s: symbols.extract(s, _language(s))[1], SCHEMAS["calls"], r"\("),
-        "imports": table_function(corpus, lambda s: [{"module": m} for m in symbols.imports(s, _language(s))], SCHEMAS["imports"], r"(?i)import|require|using|\buse\b|from"),
-        "test_cases": table_function(corpus.where("is_test"), lambda s: symbols.test_cases(s, _language(s)), SCHEMAS["test_cases"], r"(?i)test|\bit\s*\("),
-    }
+    names = ("symbols", "calls", "imports", "test_cases")
+    found = facts(corpus, {}, {}, {}, set(names))
+    return {n: table_of(found, n) for n in names}
 
 
 def _bounded(df: DataFrame, what: str) -> list:
@@ -85,62 +152,43 @@ def _bounded(df: DataFrame, what: str) -> list:
     return rows
 
 
-def shared_maps(corpus: DataFrame, config: Config = Config()) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """Constants (the first in path order wins), entity tables and settings (the last wins). Test files define neither constants nor entities for others."""
-    live = corpus.where("not is_test")
-    names = table_function(live, lambda s: [{"key": k, "value": v, "at": i} for k, v, i in messaging.constants(s)], "key string, value string, at int", r"final|const", JVM)
-    entities = table_function(live, lambda s: [{"key": k, "value": v, "at": i} for k, v, i in data.entities(s)], "key string, value string, at int", "@Entity", JVM)
-    settings = settings_of(corpus)
-    first = first_claim(names, ["key"], ["path", "at"])
-    last_entity = entities.groupBy("key").agg(F.max_by("value", F.struct("path", "at")).alias("value"))
-    last_setting = settings.groupBy("key").agg(F.max_by("value", F.struct("path", "at")).alias("value"))
-    maps = [{r["key"]: r["value"] for r in _bounded(df.select("key", "value"), what)} for df, what in ((first, "constants"), (last_entity, "entities"), (last_setting, "settings"))]
-    maps[1] |= {k: v.lower() for k, v in config.table_name_overrides.items()}
-    return maps[0], maps[1], maps[2]
-
-
-def settings_of(corpus: DataFrame) -> DataFrame:
-    rows = lambda s: [{"key": k, "value": v, "at": i} for i, (k, v) in enumerate(messaging.config(s))] if messaging.is_config(s.path) else []
-    return table_function(corpus, rows, "key string, value string, at int", None, ("yml", "yaml", "properties"))
+def shared_rows(corpus: DataFrame) -> DataFrame:
+    """SHARED: constants, entities and settings, in one pass over the files that may hold any. Test files define neither constants nor entities for others."""
 
+    def rows(src: Source) -> Iterator[tuple]:
+        try:
+            if src.suffix in JVM and not src.is_test:
+                yield from [("constants", src.path, k, v, i) for k, v, i in messaging.constants(src)]
+                yield from [("entities", src.path, k, v, i) for k, v, i in data.entities(src)] if "@Entity" in src.text else ()
+            elif messaging.is_config(src.path):
+                yield from [("settings", src.path, k, v, i) for i, (k, v) in enumerate(messaging.config(src))]
+        except Exception:  # the second pass tells of files that can't be read
+            return
 
-def seams(corpus: DataFrame, names: dict[str, str], entities: dict[str, str], settings: dict[str, str]) -> dict[str, DataFrame]:
-    """msg_edges, msg_topics, db_defs, db_access, http_endpoints, http_calls with path and is_test."""
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast((names, entities, settings))  # bounded by MAX_MAP each
-
-    def static(rows: list[dict]) -> list[dict]:
-        return [r | {"source": "static"} for r in rows]
+    suffix = paths.extension(F.col("path"))
+    held = suffix.isin("yml", "yaml", "properties") | (suffix.isin(*JVM) & F.rlike("text", F.lit("final|const|@Entity")))
+    return _mapped(corpus.where(held), rows, SHARED)
 
-    def known(src: Source) -> dict[str, str]:
-        constants = shared.value[0]
-        return constants | {k: v for k, v, _ in reversed(messaging.constants(src))} if src.is_test else constants
 
-    def declared(src: Source) -> list[dict]:
-        return messaging.declared(src, messaging.config(src)) if messaging.is_config(src.path) else []
+def maps_of(shared: DataFrame, config: Config = Config()) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Constants (the first in path order wins), entity tables and settings (the last wins)."""
+    place = F.struct("path", "at")
+    value = F.when(F.col("tag") == "constants", F.min_by("value", place)).otherwise(F.max_by("value", place))
+    maps: dict[str, dict[str, str]] = {"constants": {}, "entities": {}, "settings": {}}
+    for r in _bounded(shared.groupBy("tag", "key").agg(value.alias("value")), "constants, entities and settings"):
+        maps[r["tag"]][r["key"]] = r["value"]
+    maps["entities"] |= {k: v.lower() for k, v in config.table_name_overrides.items()}
+    return maps["constants"], maps["entities"], maps["settings"]
 
-    def definitions(src: Source) -> list[dict]:
-        return data.changelog(src) if data.is_changelog(src) else data.schema_definitions(src)
 
-    def side(k: int) -> Callable[[Source], list[dict]]:
-        def rows(src: Source) -> list[dict]:
-            read = http.jvm if src.suffix in JVM else http.web if src.suffix in WEB else http.python
-            return static(read(src)[k])
+def shared_maps(corpus: DataFrame, config: Config = Config()) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    return maps_of(shared_rows(corpus), config)
 
-        return rows
 
-    messages = table_function(corpus, lambda s: static(messaging.jvm_edges(s, shared.value[2], known(s))), SCHEMAS["msg_edges"], messaging.JVM_GATE, JVM)
-    brokers = table_function(corpus, lambda s: static(messaging.broker_edges(s)), SCHEMAS["msg_edges"], messaging.BROKER_GATE, (*WEB, "py"))
-    jvm = table_function(corpus, lambda s: static(data.jvm_access(s, shared.value[1], known(s))), SCHEMAS["db_access"], data.JVM_GATE, JVM)
-    generic = table_function(corpus, lambda s: static(data.generic_access(s)), SCHEMAS["db_access"], data.GENERIC_GATE, (*WEB, "py", "rb"))
-    return {
-        "msg_edges": messages.unionByName(brokers),
-        "msg_topics": table_function(corpus, declared, SCHEMAS["msg_topics"], None, ("yml", "yaml", "properties")),
-        "db_defs": table_function(corpus, definitions, SCHEMAS["db_defs"], None, ("xml", "yml", "yaml", "sql", "prisma", "rb", "py")),
-        "db_access": jvm.unionByName(generic),
-        "http_endpoints": table_function(corpus, side(0), SCHEMAS["http_endpoints"], http.GATE, (*JVM, *WEB, "py")),
-        "http_calls": table_function(corpus, side(1), SCHEMAS["http_calls"], http.GATE, (*JVM, *WEB, "py")),
-    }
+def seams(corpus: DataFrame, names: dict[str, str], entities: dict[str, str], settings: dict[str, str]) -> dict[str, DataFrame]:
+    """msg_edges, msg_topics, db_defs, db_access, http_endpoints, http_calls with path and is_test; each by a pass of its own over the files that may hold rows of it."""
+    tables = ("msg_edges", "msg_topics", "db_defs", "db_access", "http_endpoints", "http_calls")
+    return {n: table_of(facts(corpus, names, entities, settings, {n}), n) for n in tables}
 
 
 #: in order: what a relative import may leave out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from functools import cached_property
 from itertools import accumulate
@@ -12,6 +11,18 @@ class Source:
     def __init__(self, path: str, text: str, is_test: bool = False):
         self.path, self.text, self.is_test = path, text, is_test
 
+    def read(self, python: bool = False):
+        """The file's tokens, read once for all extractors."""
+        from fathom.operators.extract.reading import Reading
+
+        if python not in self._read:
+            self._read[python] = Reading(self, python)
+        return self._read[python]
+
+    @cached_property
+    def _read(self) -> dict:
+        return {}
+
     @cached_property
     def _breaks(self) -> list[int]:
         ends = list(accumulate(len(x) + 1 for x in self.text.split("\n")))
@@ -29,31 +40,6 @@ class Source:
     def stem(self) -> str:
         return self.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
-    @cached_property
-    def code(self) -> str:
-        """The text with comments and the insides of strings blanked out, offsets unchanged (for languages with C-like syntax)."""
-
-        def blank(m: re.Match) -> str:
-            s = m.group()
-            keep = 1 if s[0] in "\"'`" else 0
-            return "".join(c if c == "\n" or i < keep or i >= len(s) - keep else " " for i, c in enumerate(s))
-
-        return _NOT_CODE.sub(blank, self.text)
-
-    @cached_property
-    def blocks(self) -> list[tuple[int, int]]:
-        """(open, close) offsets of braces, as far as they balance."""
-        out, open_ = [], []
-        for m in re.finditer("[{}]", self.code):
-            if m.group() == "{":
-                open_.append(m.start())
-            elif open_:
-                out.append((open_.pop(), m.start()))
-        return sorted(out)
-
-
-_NOT_CODE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-
 
 def unique(rows, *key: str) -> list[dict]:
     """The first row of each key."""

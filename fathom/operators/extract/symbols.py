@@ -102,7 +102,7 @@ class _Walk:
 
     def __init__(self, src: Source, lang: str):
         self.src, self.lang, self.types = src, lang, TYPES[lang]
-        self.read = Reading(src)
+        self.read = src.read()
         self.symbols, self.calls = [], []
         self.blocks: list[tuple[str | None, str | None, bool]] = []  # innermost class, innermost function, whether a class's own body
         self.parens, self.pending = 0, None  # pending: (is class, name, depth of parentheses)
@@ -272,7 +272,7 @@ def _parameters(text: str, at: int) -> str:
 def imports(src: Source, lang: str) -> list[str]:
     """Modules that a file names, each once, sorted."""
     if lang in ("javascript", "typescript"):
-        return sorted(_web_imports(Reading(src)))
+        return sorted(_web_imports(src.read()))
     if lang == "go":
         return sorted(_go_imports(src))
     if lang not in IMPORTS:

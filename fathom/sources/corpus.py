@@ -48,6 +48,11 @@ def _quoted(base: str) -> str:
     return "\\Q" + base.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def with_tests(corpus: DataFrame, config: Config = Config()) -> DataFrame:
+    """path, text, is_test: what extraction reads."""
+    return corpus.select("path", "text", paths.is_test(F.col("path"), config.test_patterns, config.production_patterns).alias("is_test"))
+
+
 def files(corpus: DataFrame, config: Config = Config()) -> DataFrame:
     """path, module, lang, hash, lines, size, mtime, is_test of a corpus (path, text, and size and mtime where known)."""
     known = corpus.columns

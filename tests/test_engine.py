@@ -277,6 +277,10 @@ def test_refresh_equals_rebuild(spark, engine):
     assert rows(diff, "path", "change") == {("order-service/src/main/java/Publisher.java", "changed"), ("web-app/src/util.ts", "removed")}
     again = engine.refreshed(new)
     assert "orders.made" in {r.topic for r in again.tables["msg_edges"].collect()} and ("web-app/src/util.ts",) not in rows(again.tables["files"], "path")
+    assert rows(again.extracted, "path") == {("order-service/src/main/java/Publisher.java",), ("billing-service/src/test/java/ListenerTest.java",)}  # the changed file, and one that names CREATED
+    rebuilt = Engine(new.select("path", "text"))
+    for name in (*run.SCHEMAS, "edges", "decision_links"):
+        assert sorted(map(str, again.tables[name].collect())) == sorted(map(str, rebuilt.tables[name].collect())), name
     kept = refresh.overwritten(engine.tables["msg_edges"], again.tables["msg_edges"].join(diff, "path", "left_semi"), diff)
     assert rows(kept, "path", "topic", "line") == rows(again.tables["msg_edges"], "path", "topic", "line")
     assert rows(refresh.widened(old, ["CREATED"]), "path") == {("order-service/src/main/java/Publisher.java",), ("billing-service/src/test/java/ListenerTest.java",)}
@@ -285,6 +289,15 @@ def test_refresh_equals_rebuild(spark, engine):
         engine.refreshed(new.limit(0))
 
 
+def test_failures_are_told(spark):
+    files = spark.createDataFrame([("a/A.java", "class A { void m() {} }"), ("a/b.yml", "x: y")], "path string, text string")
+    found = run.facts(corpus.with_tests(files), {}, {}, None)  # settings that can't be read
+    assert run.table_of(found, "symbols").count() == 2 and run.table_of(found, "failures").count() == 0
+    listening = files.withColumn("text", F.lit('class A { @KafkaListener(topics = "${k}") void m() {} }'))
+    [failure] = run.table_of(run.facts(corpus.with_tests(listening.where("path like '%java'")), {}, {}, None), "failures").collect()
+    assert failure.path == "a/A.java" and failure.message.startswith("msg_edges: AttributeError")
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "path string, text string").write.parquet(str(tmp_path / "in"))
     got = []
