@@ -103,13 +103,6 @@ def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where(text.like_folded(F.col("p_name"), "%D_W%")).select("p_partkey", "p_name", "p_type").orderBy("p_name", "p_partkey").limit(30)
 
 
-@plan(
-    """SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
-)
-def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", "user_id", "event_type", F.from_json("props", "k BIGINT")["k"].alias("k"))
-
 
 @plan(
     """SELECT page_id, CASE WHEN length(p) > 1 THEN rtrim(p, '/') ELSE p END AS norm FROM (
@@ -121,7 +114,10 @@ def http_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", paths.normalize_route(F.col("url")).alias("norm"))
 
 
-@plan()
+@plan(
+    """WITH s AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z]+', '_', 'g')) AS name FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND name <> 'stock' THEN name || ',stock' ELSE name END AS tables, CASE WHEN p_partkey % 3 = 0 THEN 'read' ELSE 'write' END AS mode FROM s"""
+)
 def sql_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and modes of statements made from part names."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

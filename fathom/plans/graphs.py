@@ -63,37 +63,3 @@ def fk_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(EDGES_SQL + " SELECT split_part(src, '/', 1) AS src_module, split_part(dst, '/', 1) AS dst_module, count(*) AS n FROM edges GROUP BY ALL")
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.module_edges(foreign_keys(spark, sf_dir))
-
-
-@plan(
-    """WITH p AS (SELECT 'part/' || p_partkey AS path FROM part WHERE p_size = 1),
- l1 AS (SELECT DISTINCT p.path, l_orderkey, l_linenumber, l_suppkey FROM lineitem JOIN p ON p.path = 'part/' || l_partkey),
- sole AS (SELECT path FROM l1 GROUP BY path HAVING count(DISTINCT l_suppkey) = 1)
-SELECT p.path, count(DISTINCT concat(l1.l_orderkey, '-', l1.l_linenumber)) AS affected, count(DISTINCT l1.l_suppkey) AS suppliers,
- CASE WHEN p.path IN (SELECT path FROM sole) THEN 'sole supplier' ELSE '' END AS warning
-FROM p LEFT JOIN l1 ON p.path = l1.path GROUP BY p.path"""
-)
-def change_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A set of changed parts: what each reaches, who supplies it, and whether one supplier alone does."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 1").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"))
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), "l_suppkey"
-    )
-    out = part.join(items, "path", "left").groupBy("path").agg(F.countDistinct("item").alias("affected"), F.countDistinct("l_suppkey").alias("suppliers"))
-    return out.withColumn("warning", F.when(F.col("suppliers") == 1, "sole supplier").otherwise(""))
-
-
-@plan(
-    """SELECT c.c_custkey, c.c_name, n.n_name AS module, count(o.o_orderkey) AS orders, count(DISTINCT CAST(o.o_orderdate AS DATE)) AS days,
- coalesce(max(CAST(o.o_orderdate AS DATE))::VARCHAR, '') AS last_day, count_if(o.o_orderstatus = 'O') AS open_orders
-FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL"""
-)
-def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything about each customer in one flat row."""
-    c, n, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "orders"))
-    per = o.groupBy("o_custkey").agg(
-        F.count("*").alias("orders"), F.countDistinct(F.to_date("o_orderdate")).alias("days"), F.max(F.to_date("o_orderdate")).cast("string").alias("last_day"), F.count_if(F.col("o_orderstatus") == "O").alias("open_orders")
-    )
-    out = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(per, c["c_custkey"] == per["o_custkey"], "left")
-    out = out.select("c_custkey", "c_name", F.col("n_name").alias("module"), "orders", "days", "last_day", "open_orders")
-    return out.na.fill(0, ["orders", "days", "open_orders"]).na.fill("", ["last_day"])

@@ -61,27 +61,6 @@ def stale_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.stale(claims.select("doc_id", F.col("path").alias("file"), was.alias("source_hash")), files).select("doc_id", "stale")
 
 
-@plan(
-    """SELECT doc_id, 'static' AS origin, lang AS mode FROM documents
- UNION ALL SELECT l.doc_id, 'asserted:quality', CASE quality WHEN 1 THEN 'read' ELSE 'write' END FROM labels l WHERE l.doc_id IN (SELECT doc_id FROM documents)"""
-)
-def provenance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    known = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    asserted = known.select("doc_id", F.lit("asserted:quality").alias("origin"), F.when(F.col("quality") == 1, "read").otherwise("write").alias("mode"))
-    return docs.select("doc_id", F.lit("static").alias("origin"), F.col("lang").alias("mode")).unionByName(asserted)
-
-
-@plan(
-    """SELECT source AS module, count_if(coalesce(t.toxic, 0) = 0) AS production, count_if(t.toxic = 1) AS tests FROM documents d
- LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) t USING (doc_id) GROUP BY source"""
-)
-def test_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules' files on either side of the test axis, for which the toxic label stands."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    axis = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    out = docs.select("doc_id", F.col("source").alias("module")).join(axis, "doc_id", "left")
-    return out.groupBy("module").agg(F.count_if(F.coalesce("toxic", F.lit(0)) == 0).alias("production"), F.count_if(F.col("toxic") == 1).alias("tests"))
 
 
 @plan(
@@ -120,19 +99,18 @@ def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.coalesce("mark_id", F.lit(-1).cast("long")).alias("symbol"))
 
 
-@plan("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+@plan(f"SELECT source AS module, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files, taken in micro-batches that each replace the facts of the event types they touch."""
+    """The documents as a stream of files, each version once, taken in micro-batches whose facts are kept."""
     import uuid
 
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     base = f"{shared_dir(spark)}/fathom/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*").select(F.expr("concat(source, '/', doc_id)").alias("path"), "text")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select("event_type", "user_id").write.mode("overwrite").parquet(f"{base}/facts/batch={number}")
+        corpus.files(batch).select("path", "module", F.length("hash").alias("n")).join(batch.select("path", F.length("text").alias("chars")), "path").write.mode("overwrite").parquet(f"{base}/facts/batch={number}")
 
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    facts = spark.read.schema("event_type string, user_id long").parquet(f"{base}/facts")
-    return facts.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    refresh.continuous(stream, keep, f"{base}/state").awaitTermination()
+    facts = spark.read.schema("path string, module string, n int, chars int").parquet(f"{base}/facts")
+    return facts.groupBy("module").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))

@@ -37,7 +37,7 @@ def plan(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from fathom.plans import code, documents, graphs, memory, seams  # noqa: F401  they register their plans
+    from fathom.plans import code, documents, graphs, memory, seams, tools  # noqa: F401  they register their plans
 
 
 def queries() -> dict[str, Query]:

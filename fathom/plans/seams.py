@@ -146,26 +146,3 @@ def gaps_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     endpoints = customer.select(F.lit("GET").alias("method"), route.alias("norm"), F.col("c_name").alias("path"), F.lit(1).alias("line"), F.lit(False).alias("is_test"))
     calls = spark.createDataFrame([("GET", "/BUILDING", False), ("GET", "/{}/MACHINERY", False)], "method string, norm string, is_test boolean")
     return seams.gaps(messages(spark, sf_dir), declared, defs, access, endpoints, calls)
-
-
-@plan(
-    """SELECT conv_id, turn AS line, role AS caller, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS callee FROM conversations
- QUALIFY role = 'user' AND lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant'"""
-)
-def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as calls: the user's that the assistant answers."""
-    from pyspark.sql import Window
-
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    callee = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    out = turns.select("conv_id", F.col("turn").alias("line"), F.col("role").alias("caller"), callee.alias("callee"))
-    return out.where("caller = 'user' and callee = 'assistant'")
-
-
-@plan("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS module, CASE WHEN regexp_matches(url, '[.]html') THEN 'page' ELSE 'route' END AS kind FROM pages")
-def page_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    kind = F.when(F.rlike("url", F.lit("[.]html")), "page").otherwise("route")
-    return pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("module"), kind.alias("kind"))
-
-
