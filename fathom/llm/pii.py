@@ -367,9 +367,10 @@ def scored(p: dict, codes: np.ndarray) -> np.ndarray:
 
 
 def windows(size: int) -> list[tuple[int, int, int]]:
-    """(start, first, last): overlapping windows over a section, and which places inside each are decided by it: those nearer its middle than any other's."""
-    starts = [0] if size <= WINDOW else [*range(0, size - WINDOW, STEP), size - WINDOW]
-    cuts = [0, *[(a + WINDOW + b) // 2 for a, b in zip(starts, starts[1:])], size]
+    """(start, first, last): overlapping windows over a section, the last one as long as is left, and which places inside each are decided by it: those nearer its middle than
+    the next one's."""
+    starts = [0] if size <= WINDOW else [*range(0, size - WINDOW + STEP, STEP)]
+    cuts = [0, *[b + (WINDOW - STEP) // 2 for b in starts[1:]], size]
     return [(s, cuts[i] - s, cuts[i + 1] - s) for i, s in enumerate(starts)]
 
 
@@ -383,11 +384,15 @@ class Joined:
         self.begins = np.cumsum([0, *[len(x) + 1 for x in sections]])
         self.gain, self.blocks = np.full(self.begins[-1], -1e4, np.float32), []
         todo = [(i, *w) for i, x in enumerate(sections) if len(x) for w in windows(len(x))]
+        sizes = np.array([min(WINDOW, len(sections[i]) - s) for i, s, _, _ in todo], np.int64)
+        order = np.argsort(-sizes, kind="stable")  # blocks of windows of like lengths, so that little padding is scored
+        todo, sizes = [todo[k] for k in order], sizes[order]
         self.base = np.array([self.begins[i] + s for i, s, _, _ in todo], np.int64)
         self.first = self.base + np.array([f for _, _, f, _ in todo], np.int64)
+        self.order = np.argsort(self.first)
         for k in range(0, len(todo), BLOCK):
             part = todo[k : k + BLOCK]
-            codes = np.full((len(part), WINDOW), CHARS - 1, np.uint8)
+            codes = np.full((len(part), int(sizes[k])), CHARS - 1, np.uint8)
             for r, (i, s, _, _) in enumerate(part):
                 code = sections[i][s : s + WINDOW]
                 codes[r, : len(code)] = code
@@ -400,7 +405,7 @@ class Joined:
 
     def at(self, places: np.ndarray) -> np.ndarray:
         """Scores (n, TAGS) of places."""
-        w = np.searchsorted(self.first, places, "right") - 1
+        w = self.order[np.searchsorted(self.first, places, "right", sorter=self.order) - 1]
         out = np.empty((len(places), TAGS), np.float32)
         for k in np.unique(w // BLOCK):
             own = w // BLOCK == k
