@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -57,13 +57,14 @@ class Engine:
         if self.facts is None:
             marked = corpora.with_tests(self.corpus, self.config)
             self.shared = run.shared_rows(marked)
-            self.facts = run.facts(marked, *run.maps_of(self.shared, self.config))
-        return self._derived(files)
+            self.facts = run.facts(marked)
+            return self._derived(files, run.apart(marked, run.SCHEMAS) | {"failures": self.facts})
+        return self._derived(files, self.facts)
 
-    def _derived(self, files: DataFrame) -> dict[str, DataFrame]:
-        """All tables, from files and facts."""
+    def _derived(self, files: DataFrame, found: DataFrame | Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """All tables, from files and facts (of all tables, or of each)."""
         spark = self.corpus.sparkSession
-        t = {"files": files} | {n: run.table_of(self.facts, n) for n in (*run.SCHEMAS, "failures")}
+        t = {"files": files} | run.tables_of(found, self.shared, self.config)
         for extra in self.extractors:  # plug-in rows join the native tables, columns checked by name
             for name, rows in extra(self._marked(files)).items():
                 t[name] = t[name].unionByName(rows, allowMissingColumns=True) if name in t else rows
@@ -103,8 +104,8 @@ class Engine:
             first = [pool.submit(written, df, name) for df, name in ((self.facts, "facts"), (self.shared, "shared"), (self.tables["files"], "files"))]
             facts, shared, files = [f.result() for f in first]
             out = replace(self, facts=facts, shared=shared, tables={"files": files})
-            out.tables = out._derived(files)
-            plain = {n for n in (*run.SCHEMAS, "failures") if not self.extractors and self.assertions is None} | {"files"}
+            out.tables = out._derived(files, facts)
+            plain = {n for n in (*run.SCHEMAS, "failures") if n not in run.OPEN and not self.extractors and self.assertions is None} | {"files"}
             rest = {n: pool.submit(written, df, n) for n, df in out.tables.items() if n not in plain}
             out.tables = out.tables | {n: f.result() for n, f in rest.items()}
         return out
@@ -327,12 +328,13 @@ class Engine:
         marked = corpora.with_tests(corpus, self.config)
         touched = diff.where("change <> 'removed'").select("path")
         again.shared = refresh.overwritten(self.shared, run.shared_rows(marked.join(F.broadcast(touched), "path", "left_semi")), diff).persist()
-        old, new = run.maps_of(self.shared, self.config), run.maps_of(again.shared, self.config)
-        keys = sorted({k for a, b in zip(old, new) for k in a.keys() | b.keys() if a.get(k) != b.get(k)})
+        changed = refresh.changed_keys(run.names_of(self.shared, self.config), run.names_of(again.shared, self.config), "wanted")
+        named = changed.select(F.expr("substring(wanted, instr(wanted, ':') + 1)")).distinct().limit(refresh.MOST_KEYS + 1).collect()  # with more, all files are read
+        keys = sorted(r[0] for r in named)
         again.extracted = touched.union(refresh.widened(corpus, keys)).distinct().persist() if keys else touched
         gone = diff.select("path").union(again.extracted).distinct()
-        again.facts = refresh.overwritten(self.facts, run.facts(marked.join(F.broadcast(again.extracted), "path", "left_semi"), *new), gone)
-        again.tables = again._derived(listed)
+        again.facts = refresh.overwritten(self.facts, run.facts(marked.join(F.broadcast(again.extracted), "path", "left_semi")), gone)
+        again.tables = again._derived(listed, again.facts)
         return again
 
 

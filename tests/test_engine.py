@@ -321,3 +321,37 @@ def test_plugins(spark, tmp_path):
     assert engine.tools["count"]() == 1
     (tmp_path / "one.py").write_text("tampered = 1")
     assert plugins.trusted(str(tmp_path)) == []
+
+
+def test_names_are_looked_up_however_many_there_are(spark):
+    keys = "".join(f"k{i}: topic.{i}\n" for i in range(200_002))
+    java = 'class A {\n  static final String Q = "DELETE FROM old_rows";\n  @KafkaListener(topics = "${k200001}") void m() {}\n  void n() { kafkaTemplate.send("a." + B.T, x); jdbcTemplate.update(Q); }\n}\n'
+    files = [("s/application.yml", keys), ("s/A.java", java), ("s/B.java", 'class B { static final String T = "t"; }'), ("t/B.java", 'class B { static final String T = "u"; }')]
+    t = Engine(spark.createDataFrame(files, "path string, text string")).tables
+    assert rows(t["msg_edges"], "path", "topic", "direction", "line", "resolved", "via") == {("s/A.java", "topic.200001", "consume", 3, True, "k200001"), ("s/A.java", "a.t", "produce", 4, True, None)}
+    assert rows(t["db_access"], "tbl", "mode", "detail", "source") == {("old_rows", "write", "JdbcTemplate.update", "static")}
+
+
+def test_joined_names_give_the_rows_that_maps_give(spark):
+    from fathom.config import Config
+
+    repository = "interface R extends JpaRepository<Payment, Long> {}\ninterface O extends JpaRepository<Order, Long> {}\n"
+    more = {
+        "a/src/R.java": repository + 'class Z { @Query("select x from Payment x join Order o") void q(); void s() { jdbcTemplate.query(Publisher.CREATED, m); kafkaTemplate.send(List.of(CREATED, "x"), y); } }',
+        "a/src/test/java/OwnTest.java": 'class OwnTest { static final String CREATED = "own"; void s() { kafkaTemplate.send(CREATED, x); kafkaTemplate.send(OTHER, x); } }',
+        "a/src/Plain.java": 'class Plain { void s() { kafkaTemplate.send("b", x); kafkaTemplate.send("b", x); jdbcTemplate.query("SELECT 1 FROM t", m); } }',
+        "a/q.py": 'import boto3\nsqs.send_message(QueueUrl="https://q/jobs")\ncur.execute("SELECT a FROM b")\n',
+    }
+    marked = corpus.with_tests(spark.createDataFrame([*FILES.items(), *more.items()], "path string, text string"))
+    config = Config(table_name_overrides={"Order": "Orders_2"})
+    shared = run.shared_rows(marked)
+    maps = {k: {} for k in ("constants", "entities", "settings")}
+    for r in run.names_of(shared, config).collect():
+        tag, _, key = r.wanted.partition(":")
+        maps[tag][key] = r.value
+    assert maps["entities"] == {"Payment": "payments", "Order": "orders_2"} and maps["constants"] == {"CREATED": "orders.created"}
+    closed, got = run.facts(marked, *maps.values()), run.tables_of(run.facts(marked), shared, config)
+    assert ("own",) in rows(got["msg_edges"], "topic") and ("orders_2",) in rows(got["db_access"], "tbl")
+    for name in run.SCHEMAS:
+        assert sorted(map(str, got[name].collect())) == sorted(map(str, run.table_of(closed, name).collect())), name
+    assert got["failures"].count() == 0
