@@ -355,3 +355,10 @@ def test_joined_names_give_the_rows_that_maps_give(spark):
     for name in run.SCHEMAS:
         assert sorted(map(str, got[name].collect())) == sorted(map(str, run.table_of(closed, name).collect())), name
     assert got["failures"].count() == 0
+
+
+def test_a_pass_for_one_table_reads_only_files_that_may_hold_it(spark):
+    unread = F.when(F.startswith("path", F.lit("web-app/")) | F.endswith("path", F.lit(".java")), F.raise_error(F.concat(F.lit("read "), "path"))).otherwise(F.col("text"))
+    marked = corpus.with_tests(spark.createDataFrame(list(FILES.items()), "path string, text string").withColumn("text", unread))
+    found = run.table_of(run.facts(marked, only={"db_defs"}), "db_defs")
+    assert rows(found, "tbl") == {("payments",)}
