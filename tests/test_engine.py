@@ -362,3 +362,11 @@ def test_a_pass_for_one_table_reads_only_files_that_may_hold_it(spark):
     marked = corpus.with_tests(spark.createDataFrame(list(FILES.items()), "path string, text string").withColumn("text", unread))
     found = run.table_of(run.facts(marked, only={"db_defs"}), "db_defs")
     assert rows(found, "tbl") == {("payments",)}
+
+
+def test_imports_are_found_without_reading_tokens():
+    from fathom.operators.extract.source import Source
+
+    src = Source("a/A.java", "import b.B;\nclass A { void m() { go(); } }")
+    [found] = [extract(src) for tables, _, extract in run._extractors(None) if "imports" in tables]
+    assert found == {"imports": [{"module": "b.B"}]} and "_read" not in vars(src)
