@@ -11,7 +11,7 @@ from fathom.engine import Engine
 from fathom.operators import graph, memory, seams
 from fathom.plans.code import FILE_SQL, NEXT_SQL, PATH_SQL, TEST_SQL, code
 from fathom.plans.registry import plan
-from fathom.scratch import shared_dir
+from fathom.scratch import shared_dir, written
 from fathom.sources import corpus, sidecars
 
 
@@ -54,7 +54,7 @@ SELECT src AS path, 1 AS depth, contains(src, '/test/') AS is_test FROM l1 UNION
 )
 def import_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = engine(spark, sf_dir)
-    return graph.blast_radius(built.tables["edges"], spark.range(1).select(F.expr(FILE_SQL.format(p=8)).alias("path")), 2, built.tables["files"].where("is_test"))
+    return graph.blast_radius(written(built.tables["edges"], "edges"), spark.range(1).select(F.expr(FILE_SQL.format(p=8)).alias("path")), 2, built.tables["files"].where("is_test"))
 
 
 @plan(

@@ -370,3 +370,11 @@ def test_imports_are_found_without_reading_tokens():
     src = Source("a/A.java", "import b.B;\nclass A { void m() { go(); } }")
     [found] = [extract(src) for tables, _, extract in run._extractors(None) if "imports" in tables]
     assert found == {"imports": [{"module": "b.B"}]} and "_read" not in vars(src)
+
+
+def test_blast_radius_of_code_extracts_imports_once(spark, sf_dir, monkeypatch):
+    from fathom.plans import tools
+
+    kept = []
+    monkeypatch.setattr(tools, "written", lambda df, label: kept.append(label) or df)
+    assert tools.import_blast_radius(spark, sf_dir).count() and kept == ["edges"]
