@@ -5,8 +5,9 @@ The network is trained from labelled spans: pieces of a bounded sample of the te
 forms that no base rule takes (addresses spelt with "at" and "dot", spaced or bracketed dots, phones without a country code, cards grouped by other marks), beside
 dates, versions, prices and keys that are none. It tags characters with B and I of each kind or O.
 
-Every character of a text meets the network. Overlapping windows are scored, a character's scores come from the window in whose middle it lies, and one Viterbi path is found over the joined scores, so a
-span never breaks where windows meet. Stretches where no run of tags other than O can gain (an exact bound from the scores and the transitions) are O without a search. The network adds the spans
+Every text is looked through whole for signs: digits, @ and the word "at". No span without one passes the check of an added span (`checked`), so the network reads the windows within REACH of a sign, and goes
+on into further ones as long as a run of tags other than O reaches their border. Overlapping windows are scored, a character's scores come from the window in whose middle it lies, and one Viterbi path is
+found over the joined scores, so a span never breaks where windows meet. Stretches where no run of tags other than O can gain (an exact bound from the scores and the transitions) are O without a search. The network adds the spans
 that meet no base span and whose mean marginal reaches their kind's bar, set on held-out planted pieces so that at most one added span in fifty misses a labelled one there. An exact check of the digits follows
 (`checked`: Luhn, parts of addresses, numbers of digits). Base spans always stay.
 
@@ -36,7 +37,8 @@ EMBED, HIDDEN, CHARS = 10, 8, 130  # ASCII, then any other, then padding
 TRAIN_TEXTS, PIECE, TRAIN_WINDOWS, HELD_WINDOWS = 600, 2000, 3200, 600
 EPOCHS, BATCH, RATE = 8, 32, 0.02
 WRONG, LEAST_SURE = 0.02, 0.8  # share of added spans that may miss a labelled one on held-out pieces; the bar is never lower
-BLOCK, BATCH_CHARS = 1024, 200_000  # windows and characters scored at a time
+REACH = 128  # characters around a sign that the network reads in any case
+BLOCK, BATCH_CHARS = 1024, 800_000  # windows scored, and characters looked through, at a time
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -374,42 +376,71 @@ def windows(size: int) -> list[tuple[int, int, int]]:
     return [(s, cuts[i] - s, cuts[i + 1] - s) for i, s in enumerate(starts)]
 
 
+_WORD = np.array([i < 128 and (chr(i).isalnum() or chr(i) == "_") for i in range(256)])
+_AT = re.compile(r"\bat\b")
+
+
+def signs(code: np.ndarray) -> np.ndarray:
+    """Places of what every span holds that `checked` takes: digits, @ and the word at (beside other characters than ASCII, also a part of a word)."""
+    at = np.zeros(len(code), bool)
+    if len(code) > 1:
+        at[:-1] = (code[:-1] == ord("a")) & (code[1:] == ord("t"))
+        word = np.concatenate([[False], _WORD[code], [False]])
+        at[:-1] &= ~word[:-3] & ~word[3:]
+    return np.flatnonzero(at | (code == ord("@")) | (code - np.uint8(ord("0")) < 10))
+
+
 class Joined:
-    """The scores of all characters of some sections, one section after the other, each followed by a place that must be O.
+    """The scores of some sections' characters, one section after the other, each followed by a place that must be O.
 
-    gain: each place's best score of another tag over O's. Scores themselves stay in their windows and are looked up by `at`.
+    Windows within REACH of a sign are read (every: all), then those that an open place borders on, until none is left. gain: each place's best score of another tag over O's, very low where no window was
+    read; hot: open places. Scores themselves stay in their windows and are looked up by `at`.
     """
 
-    def __init__(self, p: dict, sections: list[np.ndarray]):
+    def __init__(self, p: dict, sections: list[np.ndarray], every: bool = False):
+        self.p, self.sections = p, sections
         self.begins = np.cumsum([0, *[len(x) + 1 for x in sections]])
-        self.gain, self.blocks = np.full(self.begins[-1], -1e4, np.float32), []
-        todo = [(i, *w) for i, x in enumerate(sections) if len(x) for w in windows(len(x))]
-        sizes = np.array([min(WINDOW, len(sections[i]) - s) for i, s, _, _ in todo], np.int64)
-        order = np.argsort(-sizes, kind="stable")  # blocks of windows of like lengths, so that little padding is scored
-        todo, sizes = [todo[k] for k in order], sizes[order]
-        self.base = np.array([self.begins[i] + s for i, s, _, _ in todo], np.int64)
-        self.first = self.base + np.array([f for _, _, f, _ in todo], np.int64)
-        self.order = np.argsort(self.first)
+        self.gain, self.known, self.blocks = np.full(self.begins[-1], -1e4, np.float32), np.zeros(self.begins[-1], bool), []
+        todo = np.array([(i, *w) for i, x in enumerate(sections) if len(x) for w in windows(len(x))], np.int64).reshape(-1, 4)
+        self.section, self.start = todo[:, 0], todo[:, 1]
+        begin, end = self.begins[self.section], self.begins[self.section + 1] - 1
+        self.base = begin + self.start
+        self.first, self.last, self.size = self.base + todo[:, 2], self.base + todo[:, 3], np.minimum(WINDOW, end - self.base)
+        self.block, self.row = np.full(len(todo), -1), np.zeros(len(todo), np.int64)
+        seen = np.concatenate([np.zeros(0, np.int64), *[self.begins[i] + signs(x) for i, x in enumerate(sections)]])
+        near = np.searchsorted(seen, np.maximum(begin, self.first - REACH)) < np.searchsorted(seen, np.minimum(end, self.last + REACH))
+        self.hot = np.zeros(0, np.int64)
+        near |= every
+        while near.any():
+            self.read(np.flatnonzero(near))
+            open_ = open_places(p, self.gain) & self.known
+            self.hot = np.flatnonzero(open_)
+            near = (self.block < 0) & ((self.first > begin) & open_[self.first - 1] | open_[self.last])
+
+    def read(self, todo: np.ndarray) -> None:
+        """Scores windows."""
+        todo = todo[np.argsort(-self.size[todo], kind="stable")]  # blocks of windows of like lengths, so that little padding is scored
         for k in range(0, len(todo), BLOCK):
             part = todo[k : k + BLOCK]
-            codes = np.full((len(part), int(sizes[k])), CHARS - 1, np.uint8)
-            for r, (i, s, _, _) in enumerate(part):
-                code = sections[i][s : s + WINDOW]
-                codes[r, : len(code)] = code
-            e = scored(p, codes)
+            codes = np.full((len(part), int(self.size[part[0]])), CHARS - 1, np.uint8)
+            for r, w in enumerate(part):
+                codes[r, : self.size[w]] = self.sections[self.section[w]][self.start[w] : self.start[w] + WINDOW]
+            e = scored(self.p, codes)
             more = np.ascontiguousarray((e[:, 1:].max(axis=1) - e[:, 0]).T)
-            for r, (_, _, first, last) in enumerate(part):
-                b = self.base[k + r]
-                self.gain[b + first : b + last] = more[r, first:last]
+            for r, w in enumerate(part):
+                b, first, last = self.base[w], self.first[w], self.last[w]
+                self.gain[first:last] = more[r, first - b : last - b]
+                self.known[first:last] = True
+            self.block[part], self.row[part] = len(self.blocks), np.arange(len(part))
             self.blocks.append(e)
 
     def at(self, places: np.ndarray) -> np.ndarray:
-        """Scores (n, TAGS) of places."""
-        w = self.order[np.searchsorted(self.first, places, "right", sorter=self.order) - 1]
+        """Scores (n, TAGS) of places that were read."""
+        w = np.searchsorted(self.first, places, "right") - 1
         out = np.empty((len(places), TAGS), np.float32)
-        for k in np.unique(w // BLOCK):
-            own = w // BLOCK == k
-            out[own] = self.blocks[k][places[own] - self.base[w[own]], :, w[own] % BLOCK]
+        for k in np.unique(self.block[w]):
+            own = self.block[w] == k
+            out[own] = self.blocks[k][places[own] - self.base[w[own]], :, self.row[w[own]]]
         return out
 
 
@@ -429,7 +460,7 @@ def open_places(p: dict, gain: np.ndarray) -> np.ndarray:
 
 def spans_of(p: dict, joined: Joined, block: int = 256) -> list[tuple[int, int, int, float]]:
     """(kind, start, end, mean marginal) of the best path's spans over joined scores."""
-    hot = np.flatnonzero(open_places(p, joined.gain))
+    hot = joined.hot
     if not len(hot):
         return []
     cut = np.flatnonzero(np.diff(hot) > 1) + 1
@@ -457,8 +488,8 @@ def spans_of(p: dict, joined: Joined, block: int = 256) -> list[tuple[int, int,
     return sorted(out, key=lambda s: s[1])
 
 
-def tagged(p: dict, codes: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
-    """For each text (given by its codes) the spans the network finds: (kind, start, end, mean marginal)."""
+def tagged(p: dict, codes: list[np.ndarray], every: bool = False) -> list[list[tuple[int, int, int, float]]]:
+    """For each text (given by its codes) the spans the network finds where it reads (every: everywhere): (kind, start, end, mean marginal)."""
     out: list[list] = [[] for _ in codes]
     sections = [(i, a, min(len(c), a + SECTION)) for i, c in enumerate(codes) for a in range(0, len(c), SECTION)]
     at = 0
@@ -470,7 +501,7 @@ def tagged(p: dict, codes: list[np.ndarray]) -> list[list[tuple[int, int, int, f
             at += 1
         lows = [max(0, a - MARGIN) for _, a, _ in part]
         cuts = [codes[i][lo : b + MARGIN] for lo, (i, a, b) in zip(lows, part)]
-        joined = Joined(p, cuts)
+        joined = Joined(p, cuts, every)
         for kind, s, z, sure in spans_of(p, joined):
             r = int(np.searchsorted(joined.begins, s, "right")) - 1
             i, a, b = part[r]
@@ -480,11 +511,16 @@ def tagged(p: dict, codes: list[np.ndarray]) -> list[list[tuple[int, int, int, f
     return out
 
 
-def added(p: dict, texts: list[str], base: list[list[tuple[int, int, int]]], bar: list[float]) -> list[list[tuple[int, int, int, float]]]:
+def signed(kind: int, text: str, a: int, z: int) -> bool:
+    """Whether an address of mail holds @ or at as a word of its text; what `checked` takes of other kinds holds digits."""
+    return kind > 0 or "@" in text[a:z] or bool((m := _AT.search(text, a)) and m.end() <= z)
+
+
+def added(p: dict, texts: list[str], base: list[list[tuple[int, int, int]]], bar: list[float], every: bool = False) -> list[list[tuple[int, int, int, float]]]:
     """The network's spans that meet no base span, reach their kind's bar and pass the check of their digits."""
     return [
-        [(k, a, z, sure) for k, a, z, sure in found if sure >= bar[k] and not any(s < z and a < e for _, s, e in b) and checked(k, text[a:z])]
-        for text, b, found in zip(texts, base, tagged(p, [coded(t) for t in texts]))
+        [(k, a, z, sure) for k, a, z, sure in found if sure >= bar[k] and not any(s < z and a < e for _, s, e in b) and checked(k, text[a:z]) and signed(k, text, a, z)]
+        for text, b, found in zip(texts, base, tagged(p, [coded(t) for t in texts], every))
     ]
 
 

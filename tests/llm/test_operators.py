@@ -355,6 +355,21 @@ def taught(spark):
     return pii.fitted(pii.training_texts(docs)), [r.text or "" for r in docs.select("text").collect()]
 
 
+def test_pii_network_reads_near_signs_and_finds_the_same(taught, monkeypatch):
+    net, real = taught
+    held, _ = pii.planted([t[-3000:] for t in real], np.random.default_rng(98), 60)
+    plain = "nothing of note that is seen here. " * 40
+    texts = [plain + h + plain for h in held] + [plain * 30, "", "at", "1" * 3000 + plain, "é at"]
+    assert pii.signs(pii.coded("that at. 7 @ data atom éat")).tolist() == [5, 9, 11, 24]
+    base = [pii.base_spans(t) for t in texts]
+    scored, read = pii.scored, []
+    monkeypatch.setattr(pii, "scored", lambda p, codes: (read.append(codes.size), scored(p, codes))[1])
+    found = pii.added(net, texts, base, net["bar"].tolist())
+    near = sum(read)
+    assert any(found) and found == pii.added(net, texts, base, net["bar"].tolist(), every=True)
+    assert 3 * near < sum(read) - near
+
+
 def test_pii_network_adds_what_no_base_rule_finds(taught):
     net, real = taught
     held, truth = pii.planted([t[-3000:] for t in real], np.random.default_rng(99), 800)
