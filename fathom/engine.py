@@ -7,10 +7,11 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.config import Config
+from fathom.functions import paths
 from fathom.functions.text import like_folded, spoken, task_terms
 from fathom.operators import graph, memory, search, seams
 from fathom.operators.extract import run
@@ -42,6 +43,7 @@ class Engine:
     facts: DataFrame | None = None  # extracted rows of all tables
     shared: DataFrame | None = None  # constants, entities and settings by file
     extracted: DataFrame | None = None  # path of the files that the last refresh read
+    unwritten: bool = False  # whether native tables are extracted whenever they are read
 
     def __post_init__(self) -> None:
         if not self.tables:
@@ -58,6 +60,7 @@ class Engine:
             marked = corpora.with_tests(self.corpus, self.config)
             self.shared = run.shared_rows(marked)
             self.facts = run.facts(marked)
+            self.unwritten = True
             return self._derived(files, run.apart(marked, run.SCHEMAS) | {"failures": self.facts})
         return self._derived(files, self.facts)
 
@@ -103,7 +106,7 @@ class Engine:
         with ThreadPoolExecutor(8) as pool:
             first = [pool.submit(written, df, name) for df, name in ((self.facts, "facts"), (self.shared, "shared"), (self.tables["files"], "files"))]
             facts, shared, files = [f.result() for f in first]
-            out = replace(self, facts=facts, shared=shared, tables={"files": files})
+            out = replace(self, facts=facts, shared=shared, tables={"files": files}, unwritten=False)
             out.tables = out._derived(files, facts)
             plain = {n for n in (*run.SCHEMAS, "failures") if n not in run.OPEN and not self.extractors and self.assertions is None} | {"files"}
             rest = {n: pool.submit(written, df, n) for n, df in out.tables.items() if n not in plain}
@@ -156,15 +159,26 @@ class Engine:
         return graph.hotspots(self._t("edges"), min(limit, 30))
 
     def find_callers(self, name: str, limit: int = 40) -> DataFrame:
-        return self._calls().where(F.col("callee") == name).orderBy("path", "line").limit(min(limit, 100)).select("caller", "parent", "path", "line")
+        return self._calls(name).where(F.col("callee") == name).orderBy("path", "line").limit(min(limit, 100)).select("caller", "parent", "path", "line")
 
     def find_callees(self, name: str) -> DataFrame:
         return self._calls().where(F.col("caller") == name).select("callee", "line").distinct().orderBy("line", "callee").limit(60)
 
-    def _calls(self) -> DataFrame:
-        """Calls with the first symbol of the caller's name in its file; calls outside any symbol are none."""
-        first = graph.first_claim(self._t("symbols"), ["path", "name"], ["seq"]).select("path", F.col("name").alias("caller"), "parent")
-        return self._t("calls").join(first, ["path", "caller"])
+    def _naming(self, told: Column) -> dict[str, DataFrame]:
+        """symbols and calls of the files whose text meets a condition, at least. Names stand in texts as they are (but for Python's, whose letters other than ASCII are normalised), so where tables are
+        extracted whenever they are read, other files are looked through but not read into tokens."""
+        if not self.unwritten or self.extractors or self.passes:
+            return self.tables
+        marked = corpora.with_tests(self.corpus, self.config)
+        folded = (paths.extension(F.col("path")) == "py") & (F.length("text") < F.octet_length("text"))
+        found = run.facts(marked.where(told | folded), only={"symbols", "calls"})
+        return {n: run.table_of(found, n) for n in ("symbols", "calls")}
+
+    def _calls(self, name: str | None = None) -> DataFrame:
+        """Calls (from or to a name, at least) with the first symbol of the caller's name in its file; calls outside any symbol are none."""
+        t = self.tables if name is None else self._naming(F.contains("text", F.lit(name)))
+        first = graph.first_claim(t["symbols"], ["path", "name"], ["seq"]).select("path", F.col("name").alias("caller"), "parent")
+        return t["calls"].join(first, ["path", "caller"])
 
     def find_references(self, name: str, limit: int = 40) -> DataFrame:
         defs = self._t("definitions").where(like_folded(F.col("symbol"), f"%{name}%")).orderBy("symbol", "path", "line").limit(5)
@@ -321,7 +335,7 @@ class Engine:
         t, listed = self._t("files"), corpora.files(corpus, self.config)
         refresh.guarded(t.count(), corpus.limit(1).count())
         diff = refresh.snapshot_diff(t, listed).persist()
-        again = replace(self, corpus=corpus, tables={"files": listed}, facts=None, shared=None, extracted=corpus.select("path"))
+        again = replace(self, corpus=corpus, tables={"files": listed}, facts=None, shared=None, extracted=corpus.select("path"), unwritten=False)
         if refresh.is_wide(diff.count(), t.count()):
             again.tables = again._built()
             return again

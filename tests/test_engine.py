@@ -378,3 +378,22 @@ def test_blast_radius_of_code_extracts_imports_once(spark, sf_dir, monkeypatch):
     kept = []
     monkeypatch.setattr(tools, "written", lambda df, label: kept.append(label) or df)
     assert tools.import_blast_radius(spark, sf_dir).count() and kept == ["edges"]
+
+
+NAMED = [
+    ("a/A.java", "@Data\npublic class Box {\n  private int weight;\n  void lift() { heave(1); }\n}\n"), ("a/B.java", "public class Cart { void push() { heave(2); lift(); } }\n"),
+    ("a/c.py", "def ﬁnd(x):\n    return heave(x)\ndef other():\n    return ﬁnd(1)\n"), ("a/D.java", "public class Door { void open() { knock(); } }\n"),
+]
+
+
+def test_names_are_looked_for_in_texts_before_tokens(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame(NAMED, "path string, text string")
+    lazy, stored = Engine(files), Engine(files).stored(str(tmp_path / "tables"))
+    asked = [lambda e: e.find_callers("heave"), lambda e: e.find_callers("find")]
+    found = [ask(lazy).collect() for ask in asked]
+    assert found == [ask(stored).collect() for ask in asked] and all(found)
+    read = []
+    facts = run.facts
+    monkeypatch.setattr(run, "facts", lambda corpus, *a, **k: (read.append(corpus), facts(corpus, *a, **k))[1])
+    lazy.find_callers("knock")
+    assert rows(read[0], "path") == {("a/D.java",), ("a/c.py",)}
