@@ -162,7 +162,7 @@ class Engine:
         return self._calls(name).where(F.col("callee") == name).orderBy("path", "line").limit(min(limit, 100)).select("caller", "parent", "path", "line")
 
     def find_callees(self, name: str) -> DataFrame:
-        return self._calls().where(F.col("caller") == name).select("callee", "line").distinct().orderBy("line", "callee").limit(60)
+        return self._calls(name).where(F.col("caller") == name).select("callee", "line").distinct().orderBy("line", "callee").limit(60)
 
     def _naming(self, told: Column) -> dict[str, DataFrame]:
         """symbols and calls of the files whose text meets a condition, at least. Names stand in texts as they are (but for Python's, whose letters other than ASCII are normalised), so where tables are
