@@ -133,7 +133,8 @@ class Engine:
 
     def find_symbol(self, name: str, exact: bool = False) -> DataFrame:
         hit = F.col("name") == name if exact else like_folded(F.col("name"), f"%{name}%")
-        return self._t("symbols").where(hit).orderBy("name", "path", "line").limit(30).select("name", "kind", "signature", "parent", "path", "line")
+        told = F.contains("text", F.lit(name)) if exact else like_folded(F.col("text"), f"%{name}%")
+        return self._naming(told | F.rlike("text", F.lit(run.GENERATES)))["symbols"].where(hit).orderBy("name", "path", "line").limit(30).select("name", "kind", "signature", "parent", "path", "line")
 
     def file_outline(self, path: str) -> dict:
         own = self._t("files").where(F.col("path") == path).select("path", "lang", "lines").collect()

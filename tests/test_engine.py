@@ -389,7 +389,7 @@ NAMED = [
 def test_names_are_looked_for_in_texts_before_tokens(spark, tmp_path, monkeypatch):
     files = spark.createDataFrame(NAMED, "path string, text string")
     lazy, stored = Engine(files), Engine(files).stored(str(tmp_path / "tables"))
-    asked = [lambda e: e.find_callers("heave"), lambda e: e.find_callers("find"), lambda e: e.find_callees("find"), lambda e: e.find_callees("push")]
+    asked = [lambda e: e.find_callers("heave"), lambda e: e.find_callers("find"), lambda e: e.find_callees("find"), lambda e: e.find_callees("push"), lambda e: e.find_symbol("GETWEI"), lambda e: e.find_symbol("find", exact=True), lambda e: e.find_symbol("b_x")]
     found = [ask(lazy).collect() for ask in asked]
     assert found == [ask(stored).collect() for ask in asked] and all(found)
     read = []
