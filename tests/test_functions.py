@@ -1,4 +1,6 @@
+import gc
 import re
+import weakref
 
 import pytest
 from hypothesis import given, settings
@@ -187,3 +189,22 @@ def test_imports_tests_and_lombok():
     assert [t["name"] for t in symbols.test_cases(src("T.java", "@Test\npublic void addsUp() {}", True), "java")] == ["addsUp"] and symbols.test_cases(src("T.java", "@Test void x() {}"), "java") == []
     names = [s["name"] for s in symbols.lombok(src("P.java", "@Data\n@Builder\npublic class P {\n private static final String K = \"k\";\n private boolean open;\n private List<String> tags;\n}"))]
     assert names == ["builder", "build", "isOpen", "setOpen", "getTags", "setTags"]
+
+
+def test_files_are_freed_as_soon_as_they_are_read():
+    src = Source("A.java", 'class A { void a() { jdbcTemplate.query("SELECT * FROM t"); b(); } }')
+    gc.disable()
+    try:
+        assert [r["table"] for r in data.jvm_sites(src)] == ["t"] and http.jvm(src) == ([], [])
+        held = weakref.ref(src)
+        del src
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_only_calls_of_wanted_names_are_read():
+    read = Source("A.java", "class A { void a() { x.y.b(1, c(2)); @d(3) e<T>(4); f(5).b(6); } }").read()
+    found = read.calls_of(lambda name: name == "b")
+    assert [(c.receiver, c.after is not None) for c in found] == [(("x", "y"), False), ((), True)] and len([m for m in read._made.values() if m]) == 2
+    assert [c.name for c in read.calls] == ["a", "b", "c", "e", "f", "b"] and [c for c in read.calls if c.name == "b"] == found
