@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -64,10 +64,10 @@ class Engine:
             return self._derived(files, run.apart(marked, run.SCHEMAS) | {"failures": self.facts})
         return self._derived(files, self.facts)
 
-    def _derived(self, files: DataFrame, found: DataFrame | Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        """All tables, from files and facts (of all tables, or of each)."""
+    def _derived(self, files: DataFrame, found: DataFrame | Mapping[str, DataFrame], known: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+        """All tables, from files and facts (of all tables, or of each); known: native tables that needn't be made from them."""
         spark = self.corpus.sparkSession
-        t = {"files": files} | run.tables_of(found, self.shared, self.config)
+        t = {"files": files} | run.tables_of(found, self.shared, self.config) | (known or {})
         for extra in self.extractors:  # plug-in rows join the native tables, columns checked by name
             for name, rows in extra(self._marked(files)).items():
                 t[name] = t[name].unionByName(rows, allowMissingColumns=True) if name in t else rows
@@ -94,9 +94,9 @@ class Engine:
             t |= extra(self)
         return t
 
-    def stored(self, folder: str) -> Engine:
-        """The same engine over tables written as Parquet: facts first, in one pass over the texts, then what derives from them, several tables at a time (on small
-        corpora jobs are short and their starts would add up)."""
+    def stored(self, folder: str, lazy: Iterable[str] = ()) -> Engine:
+        """The same engine over tables written as Parquet: facts first, in one pass over the texts, then the tables whose rows stand on names of other files, then what derives from them,
+        several tables at a time (on small corpora jobs are short and their starts would add up). lazy: tables that are not written, but made whenever they are read."""
         spark = self.corpus.sparkSession
 
         def written(df: DataFrame, name: str) -> DataFrame:
@@ -107,8 +107,10 @@ class Engine:
             first = [pool.submit(written, df, name) for df, name in ((self.facts, "facts"), (self.shared, "shared"), (self.tables["files"], "files"))]
             facts, shared, files = [f.result() for f in first]
             out = replace(self, facts=facts, shared=shared, tables={"files": files}, unwritten=False)
-            out.tables = out._derived(files, facts)
-            plain = {n for n in (*run.SCHEMAS, "failures") if n not in run.OPEN and not self.extractors and self.assertions is None} | {"files"}
+            native = run.tables_of(facts, shared, self.config)
+            opened = {n: pool.submit(written, native[n], f"native_{n}") for n in run.OPEN}
+            out.tables = out._derived(files, facts, {n: f.result() for n, f in opened.items()})
+            plain = {n for n in (*run.SCHEMAS, "failures") if not self.extractors and self.assertions is None and not (n in run.OPEN and self.passes)} | {"files", *lazy}
             rest = {n: pool.submit(written, df, n) for n, df in out.tables.items() if n not in plain}
             out.tables = out.tables | {n: f.result() for n, f in rest.items()}
         return out

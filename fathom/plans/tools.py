@@ -20,8 +20,8 @@ def engine(spark: SparkSession, sf_dir: str, **more) -> Engine:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Engine:
-    """The same with its tables written, for questions that read many of them."""
-    return engine(spark, sf_dir).stored(f"{shared_dir(spark)}/fathom/{spark.sparkContext.applicationId}/code-{uuid.uuid4().hex}")
+    """The same with its tables written, for questions that read many of them, but not chunks."""
+    return engine(spark, sf_dir).stored(f"{shared_dir(spark)}/fathom/{spark.sparkContext.applicationId}/code-{uuid.uuid4().hex}", lazy=["chunks"])
 
 
 PARTS = f"WITH f AS (SELECT p_partkey AS p, p_size, {NEXT_SQL} AS j, {PATH_SQL} AS path, {TEST_SQL} AS is_test FROM part)"

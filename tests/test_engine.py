@@ -397,3 +397,13 @@ def test_names_are_looked_for_in_texts_before_tokens(spark, tmp_path, monkeypatc
     monkeypatch.setattr(run, "facts", lambda corpus, *a, **k: (read.append(corpus), facts(corpus, *a, **k))[1])
     lazy.find_callers("knock")
     assert rows(read[0], "path") == {("a/D.java",), ("a/c.py",)}
+
+
+def test_stored_tables_are_made_once_and_may_stay_lazy(spark, workspace, tmp_path):
+    engine = Engine(corpus.load(spark, [str(workspace)]))
+    stored = engine.stored(str(tmp_path / "tables"), lazy=["chunks"])
+    assert not os.path.exists(tmp_path / "tables/chunks")
+    links = stored._derived(stored.tables["files"], stored.facts, {n: stored.tables[n] for n in run.OPEN})["decision_links"]
+    assert "MapInArrow" not in links._jdf.queryExecution().toString()  # topics and tables of links are read, not made again
+    for n in ("chunks", "msg_edges", "db_access", "decision_links"):
+        assert sorted(map(str, stored.tables[n].collect())) == sorted(map(str, engine.tables[n].collect()))
